@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quoin.llm import bpe
+from quoin.llm import bpe, outliers, secrets
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
     "op4_bpe": bpe.op4_bpe,
+    "op8_quality_rules": outliers.op8_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
