@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quoin.llm import bpe, outliers, secrets
+from quoin.llm import bpe, outliers, secrets, warc
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op3_warc": warc.op3_warc,
     "op4_bpe": bpe.op4_bpe,
     "op8_quality_rules": outliers.op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": warc.OP3_SQL,
+}
