@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quoin.llm import bpe, outliers, secrets, warc
+from quoin.llm import bpe, lines, outliers, secrets, warc
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_secrets": secrets.op2_secrets,
     "op3_warc": warc.op3_warc,
     "op4_bpe": bpe.op4_bpe,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": lines.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
 }
