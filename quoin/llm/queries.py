@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quoin.llm import bpe, lines, outliers, secrets, warc
+from quoin.llm import bpe, hyperminhash, lines, outliers, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_bpe": bpe.op4_bpe,
     "op8_quality_rules": outliers.op8_quality_rules,
+    "op9_hyperminhash": hyperminhash.op9_hyperminhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_hyperminhash": hyperminhash.OP9_SQL,
     "op1_line_dedup": lines.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
 }
