@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quoin.llm import bpe, hyperminhash, lines, outliers, secrets, warc
+from quoin.llm import bpe, hyperminhash, leaks, lines, outliers, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op10_leaks": leaks.op10_leaks,
     "op2_secrets": secrets.op2_secrets,
     "op3_warc": warc.op3_warc,
     "op4_bpe": bpe.op4_bpe,
