@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quoin.llm import bpe, hyperminhash, leaks, lines, outliers, secrets, warc
+from quoin.llm import bpe, hyperminhash, leaks, lines, outliers, quality, secrets, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op3_warc": warc.op3_warc,
     "op4_bpe": bpe.op4_bpe,
+    "op7_quality": quality.op7_quality,
     "op8_quality_rules": outliers.op8_quality_rules,
     "op9_hyperminhash": hyperminhash.op9_hyperminhash,
 }
