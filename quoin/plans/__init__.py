@@ -1,4 +1,4 @@
 """All queries over the editorial data model."""
 
-from quoin.plans import mining  # noqa: F401
+from quoin.plans import corrections, mining  # noqa: F401
 from quoin.plans.registry import QUERIES, SQL  # noqa: F401
