@@ -116,6 +116,21 @@ VIEWS: dict[str, str] = {
           description, explanation, CASE WHEN seq % 4 = 0 THEN '' ELSE source END AS source, CASE WHEN seq % 10 = 0 THEN 'Sûr' ELSE confidence END AS confidence,
           CASE seq % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'title' WHEN 2 THEN 'proper_noun' ELSE 'unknown' END AS item_type
         FROM {corrections}""",
+    "matches": """
+        SELECT id, CASE seq % 7 WHEN 0 THEN 'GUILLEMETS' WHEN 1 THEN 'POINT' WHEN 2 THEN 'UPPERCASE_SENTENCE_START' WHEN 3 THEN 'FR_ESPACE_X' WHEN 4 THEN 'AGREEMENT' WHEN 5 THEN 'UNPAIRED_BRACKETS' ELSE 'MISC' END AS rule_id,
+          CASE seq % 5 WHEN 0 THEN 'typography' WHEN 1 THEN 'GRAMMAR' WHEN 2 THEN 'quotes_misc' ELSE 'MISC' END AS category_id, CASE WHEN seq % 13 = 0 THEN 'mot étranger ici' ELSE 'message' END AS message,
+          CASE seq % 3 WHEN 0 THEN 'Un titre court' WHEN 1 THEN 'Il est venu ; elle a vu' ELSE repeat('long ', 30) END AS context,
+          CASE seq % 6 WHEN 0 THEN '.....' WHEN 1 THEN '- - -a' WHEN 2 THEN '' ELSE original_text END AS original
+        FROM {corrections}""",
+    "searches": """
+        SELECT doc_id, page_num, page_num AS seq, CASE (doc_id + page_num) % 3 WHEN 0 THEN 'date' WHEN 1 THEN 'title' ELSE 'proper_noun' END AS item_type,
+          CASE (doc_id + page_num) % 3 WHEN 0 THEN CASE (doc_id + page_num) % 4 WHEN 0 THEN '(1805)' WHEN 1 THEN '12 mars 1802' ELSE '3 avril 1850' END
+            WHEN 1 THEN CASE (doc_id + page_num) % 4 WHEN 0 THEN 'Les Fleurs du mal' WHEN 1 THEN 'Mémoires intérieurs' ELSE 'La Fleuriste obscure' END
+            ELSE CASE (doc_id + page_num) % 4 WHEN 0 THEN 'Victor Hugo' WHEN 1 THEN 'Victor Hugau' ELSE 'Maria Curie' END END AS text,
+          substr(text, 1, 40) AS context,
+          CASE WHEN (doc_id + page_num) % 5 = 0 THEN NULL ELSE concat(text, ' Voir « Les Fleurs du bien » et Victor Hugot.') END AS results,
+          CASE page_num % 4 WHEN 0 THEN '' WHEN 1 THEN 'le 12 mars 1802' WHEN 2 THEN 'en mars 1803, puis 1804' ELSE 'vers 1805' END AS answer
+        FROM {manuscript}""",
     "states": """
         SELECT user_id AS job_id, ts, event_id, event_type, CASE event_type WHEN 'click' THEN 'processing' WHEN 'view' THEN 'extracting' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'awaiting_confirmation' ELSE 'error' END AS status, value
         FROM {events}""",
