@@ -1,4 +1,4 @@
 """All queries over the editorial data model."""
 
-from quoin.plans import batching, corrections, items, mining  # noqa: F401
+from quoin.plans import analytics, batching, corrections, items, mining  # noqa: F401
 from quoin.plans.registry import QUERIES, SQL  # noqa: F401
