@@ -21,8 +21,8 @@ estimate, which stands four standard errors below the threshold, with one of abo
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer words
 than a shingle is one shingle. Rows with a null doc_id are linked with nothing; their
-component is null and they are kept. Rows of one doc_id count as separate nodes if their
-sets differ. Extra columns are not read by ``groups``; ``dedup`` carries them along.
+component is null and they are kept. Rows of one doc_id with unlike sets are one node with
+several sets. Extra columns are not read by ``groups``; ``dedup`` carries them along.
 """
 
 from __future__ import annotations
@@ -170,8 +170,8 @@ def linked(sets: list[np.ndarray], labels: list, query: np.ndarray, percent: int
 
 
 def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): node names the set, null for an empty one."""
-    fields = [("n_shingles", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64()))]
+    """(doc_id, n_shingles, digest, bands): digest names the set, null for an empty one."""
+    fields = [("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
 
     def make():
         known = WordHashes()
@@ -180,48 +180,55 @@ def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
             found = shingle_set(value, words, known)
             if not len(found):
                 return 0, None, None
-            return len(found), xxhash.xxh3_128_hexdigest(found.tobytes()), band_keys(sketch(found))
+            return len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(sketch(found))
 
         return one
 
-    return per_text(docs.select("doc_id", text_or_empty(text).alias("_text")), "_text", make, fields, "n_shingles long, node string, bands array<long>")
+    return per_text(docs.select("doc_id", text_or_empty(text).alias("_text")), "_text", make, fields, "n_shingles long, digest binary, bands array<long>")
 
 
 def node_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """The sets of ``wanted`` (doc_id, node, cluster), made anew from the texts."""
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", text_or_empty(text).alias("_text")).join(wanted, "doc_id")
-    fields = [("hashes", pa.binary()), ("is", pa.string())]
+    """The sets of ``wanted`` (node, cluster), made anew from the texts; a node is a doc_id."""
+    rows = docs.select(F.col("doc_id").alias("node"), text_or_empty(text).alias("_text")).join(wanted, "node")
 
     def make():
         known = WordHashes()
+        return lambda value: (shingle_set(value, words, known).tobytes(),)
 
-        def one(value: str) -> tuple:
-            data = shingle_set(value, words, known).tobytes()
-            return data, xxhash.xxh3_128_hexdigest(data)
-
-        return one
-
-    made = per_text(rows.select("node", "cluster", "_text"), "_text", make, fields, "hashes binary, is string")
-    return made.where(F.col("is") == F.col("node")).select("node", "cluster", "hashes").dropDuplicates(["node"])
+    made = per_text(rows.select("node", "cluster", "_text"), "_text", make, [("hashes", pa.binary())], "hashes binary")
+    return made.where(F.length("hashes") > 0)
 
 
 def links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) of rows (keys, node, label, query, hashes), each group of keys in a task."""
+    """Links (a, b) of rows (keys, node, label, query, hashes), each group of keys in a task:
+    every label that was joined to others, and the least of them."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["node", "query"], ascending=[True, False]).drop_duplicates("node")
-        nodes = pdf["node"].tolist()
-        pairs = linked([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], pdf["label"].tolist(), pdf["query"].to_numpy(bool), percent)
-        return pd.DataFrame({"a": [nodes[i] for i, _ in pairs], "b": [nodes[j] for _, j in pairs]}, dtype=object)
+        pdf = pdf.sort_values(["node", "query"], ascending=[True, False]).drop_duplicates(["node", "hashes"])
+        labels = pdf["label"].tolist()
+        pairs = linked([np.frombuffer(x, np.uint64) for x in pdf["hashes"]], labels, pdf["query"].to_numpy(bool), percent)
+        root = {x: x for x in labels}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, j in pairs:
+            x, y = find(labels[i]), find(labels[j])
+            root[max(x, y)] = min(x, y)
+        joined = [x for x in root if find(x) != x]
+        return pd.DataFrame({"a": joined, "b": [find(x) for x in joined]}, dtype="int64")
 
-    return rows.select(*keys, "node", "label", "query", "hashes").groupBy(*keys).applyInPandas(one, "a string, b string")
+    return rows.select(*keys, "node", "label", "query", "hashes").groupBy(*keys).applyInPandas(one, "a long, b long")
 
 
 def cluster_links(sets: DataFrame, percent: int) -> DataFrame:
     """All links of the clusters in ``sets`` (node, cluster, hashes), as a spanning set."""
     half = CLUSTER_NODES // 2
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.min("node").alias("hub1"), F.max("node").alias("hub2"))
-    sized = sets.join(sizes, "cluster")
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node")).alias("hub1"), F.max(F.struct(F.xxhash64("node"), "node")).alias("hub2"))
+    sized = sets.join(sizes.select("cluster", "n", F.col("hub1.node").alias("hub1"), F.col("hub2.node").alias("hub2")), "cluster")
     large = F.col("n") > CLUSTER_NODES
     blocks = F.when(large, F.ceil(F.col("n") / half)).otherwise(1).cast("int")
     dealt = sized.withColumn("blocks", blocks).withColumn(
@@ -232,7 +239,7 @@ def cluster_links(sets: DataFrame, percent: int) -> DataFrame:
     if rest.limit(1).count() == 0:
         return found
     labelled = rest.join(components(found).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = written(labelled.select("cluster", "node", "hashes", "n", "label"))
+    labelled = written(labelled.select("cluster", "node", "hashes", "label"))
     by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("m"))
     # the largest component of a cluster has no queries: a link to it has one at its other end
     chief = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("chief"), F.sum("m").alias("all"), F.max("m").alias("most"))
@@ -247,18 +254,19 @@ def cluster_links(sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    docs = docs.select("doc_id", text)
     rows = written(sketched(docs, text, words))
-    nodes = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    keys = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+    sets = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    # a node is named by the least doc_id of its set
+    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    keys = nodes.select("node", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    clusters = written(components(keys.join(stars, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("cluster")))
-    ids = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(node_sets(docs, text, words, ids.join(clusters, "node")))
-    joined = components(cluster_links(sets, percent)).select("node", "root")
-    named = ids.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.select("node", "root").join(least, "root").select("node", "component_id")
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    clusters = components(keys.join(stars, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("cluster"))
+    roots = components(cluster_links(written(node_sets(docs, text, words, clusters)), percent))
+    ids = sets.groupBy("digest").agg(F.min("doc_id").alias("node")).join(roots, "node", "left")
+    of_set = ids.select("digest", F.coalesce("root", "node").alias("component_id"))
+    named = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
