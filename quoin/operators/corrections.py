@@ -91,6 +91,39 @@ def parsed(raw: DataFrame, allowed: str) -> DataFrame:
     )
 
 
+# Name, annotation type and colour of each category.
+CATEGORY = [
+    ("A", "A – Orthographe", "StrikeOut", 1.00, 0.65, 0.65),
+    ("B", "B – Grammaire", "StrikeOut", 1.00, 0.82, 0.55),
+    ("C", "C – Typographie", "Highlight", 0.78, 0.60, 1.00),
+    ("D", "D – Syntaxe", "Highlight", 0.55, 0.78, 1.00),
+    ("E", "E – Sémantique", "Highlight", 0.60, 0.90, 0.65),
+    ("F", "F – Uniformisation", "Squiggly", 0.55, 0.90, 0.95),
+    ("G", "G – Renvois", "Squiggly", 1.00, 0.72, 0.87),
+]
+
+
+def only_objects(rows: DataFrame, reply: str) -> DataFrame:
+    """Elements of a reply that are objects; bare strings and broken ones are skipped."""
+    fields = F.from_json(reply, "original string, category string")
+    return rows.withColumn("_o", F.when(F.trim(reply).startswith("{"), fields)).where("_o IS NOT NULL AND (_o.original IS NOT NULL OR _o.category IS NOT NULL)").select("*", "_o.original", "_o.category").drop("_o")
+
+
+def unwrapped(reply: str, own_author: Column) -> Column:
+    """Author in a fenced JSON reply, at most 400 characters; one that the editor gave stays."""
+    bare = F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*|\s*```$", "")
+    found = F.substring(F.get_json_object(bare, "$.author"), 1, 400)
+    return F.coalesce(F.nullif(own_author, F.lit("")), found)
+
+
+def shaped(corrections: DataFrame) -> DataFrame:
+    """Rows with their category's annotation type and colour; unknown categories get those of D."""
+    spark = corrections.sparkSession
+    known = F.broadcast(spark.createDataFrame(CATEGORY, "category string, name string, annotation_type string, color_r double, color_g double, color_b double"))  # seven rows
+    rows = corrections.withColumn("_key", F.when(F.instr(F.lit("ABCDEFG"), F.col("category")) > 0, F.col("category")).otherwise("D"))
+    return rows.join(known.withColumnRenamed("category", "_key"), "_key").drop("_key")
+
+
 # ── the ordered rules ──────────────────────────────────────────────────────
 
 

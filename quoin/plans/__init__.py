@@ -1,4 +1,8 @@
 """All queries over the editorial data model."""
 
-from quoin.plans import analytics, batching, corrections, items, mining  # noqa: F401
-from quoin.plans.registry import QUERIES, SQL  # noqa: F401
+from quoin.plans import analytics, batching, corrections, items, lifecycle, mining  # noqa: F401
+from quoin.plans.registry import QUERIES, SQL
+from quoin.streaming import states
+
+QUERIES.update(states.QUERIES)
+SQL.update(states.SQL)

@@ -44,6 +44,13 @@ for name, allowed in (("p_parse_1a", "ABCD"), ("p_parse_all", "ABCDEFGH")):
           CASE WHEN confidence IN ({listed(c.CONFIDENCES)}) THEN confidence ELSE 'Probable' END AS confidence FROM v""",
     )
 
+REPLY = "CASE seq % 4 WHEN 0 THEN '\"texte nu\"' WHEN 1 THEN '{\"x\": 1}' ELSE concat('{\"original\": \"', replace(replace(original_text, '\"', ''), chr(92), ''), '\", \"category\": \"', category, '\"}') END"
+query("p01_type_guard", ["corrections"], lambda k: c.only_objects(k.select("id", F.expr(REPLY).alias("reply")), "reply").select("id", "original", "category"), f"SELECT id, reply->>'$.original' AS original, reply->>'$.category' AS category FROM (SELECT id, {REPLY} AS reply FROM {{corrections}}) WHERE json_type(reply) = 'OBJECT' AND (reply->>'$.original' IS NOT NULL OR reply->>'$.category' IS NOT NULL)")
+FENCED = "CASE seq % 3 WHEN 0 THEN concat('```json', chr(10), '{\"author\": \"', job_id, '\"}', chr(10), '```') WHEN 1 THEN concat('{\"author\": \"', job_id, '\"}') ELSE '{}' END"
+query("p15_unwrap_json", ["corrections"], lambda k: k.withColumn("reply", F.expr(FENCED)).select("id", c.unwrapped("reply", F.when(F.col("seq") % 5 == 0, "Zola").otherwise("")).alias("author")), f"SELECT id, coalesce(CASE WHEN seq % 5 = 0 THEN 'Zola' END, regexp_replace(reply, '^```(?:json)?\\s*|\\s*```$', '', 'g')->>'$.author') AS author FROM (SELECT *, {FENCED} AS reply FROM {{corrections}})")
+DIM = ", ".join(str(x) for x in c.CATEGORY)
+query("p14_record_shape", ["corrections"], lambda k: c.shaped(k).select("id", "name", "annotation_type", "color_r", "color_g", "color_b"), f"WITH dim(k, name, annotation_type, color_r, color_g, color_b) AS (VALUES {DIM}) SELECT id, name, annotation_type, color_r::DOUBLE AS color_r, color_g::DOUBLE AS color_g, color_b::DOUBLE AS color_b FROM {{corrections}} JOIN dim ON k = CASE WHEN strpos('ABCDEFG', category) > 0 THEN category ELSE 'D' END")
+
 # ── rules ──────────────────────────────────────────────────────────────────
 
 RULES = rf"""marks AS (SELECT job_id, sum(length(t) - length(replace(t, '«', '')))::BIGINT AS g FROM (SELECT job_id, concat_ws(' ', original_text, corrected_text) AS t FROM {{corrections}}) GROUP BY job_id),

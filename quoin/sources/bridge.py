@@ -131,6 +131,15 @@ VIEWS: dict[str, str] = {
           CASE WHEN (doc_id + page_num) % 5 = 0 THEN NULL ELSE concat(text, ' Voir « Les Fleurs du bien » et Victor Hugot.') END AS results,
           CASE page_num % 4 WHEN 0 THEN '' WHEN 1 THEN 'le 12 mars 1802' WHEN 2 THEN 'en mars 1803, puis 1804' ELSE 'vers 1805' END AS answer
         FROM {manuscript}""",
+    "requests": """
+        SELECT doc_id, page_num, doc_id * 1000 + page_num AS request_id, substr('ABCDEFGH', CAST((doc_id + page_num) % 8 AS INT) + 1, 1) AS category,
+          CASE (doc_id + page_num) % 6 WHEN 0 THEN 'Victor Hugo' WHEN 1 THEN 'chez eux.' WHEN 2 THEN 'absent du texte' WHEN 3 THEN 'RENCONTRA' WHEN 4 THEN 'rencontra Charles de Gaulle chez' ELSE 'Il naquit en' END AS original_text,
+          CASE WHEN page_num % 3 = 0 THEN NULL ELSE 'forme' END AS corrected_text, 'motif' AS description, 'explication' AS explanation, CASE WHEN page_num % 4 = 0 THEN '' ELSE 'usage' END AS source,
+          CASE page_num % 4 WHEN 0 THEN 'Certain' WHEN 1 THEN 'Probable' WHEN 2 THEN 'À vérifier' ELSE 'Autre' END AS confidence
+        FROM {manuscript}""",
+    "spans": """
+        SELECT job_id AS doc_id, page_number AS page_num, CAST(floor(seq / 4) AS INT) AS line, CAST(seq % 4 AS INT) AS span, CASE WHEN seq % 11 = 0 THEN ' ' ELSE original_text END AS text, CASE WHEN x0 > 35 THEN 48.0 ELSE 12.0 END AS size
+        FROM {corrections}""",
     "states": """
         SELECT user_id AS job_id, ts, event_id, event_type, CASE event_type WHEN 'click' THEN 'processing' WHEN 'view' THEN 'extracting' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'awaiting_confirmation' ELSE 'error' END AS status, value
         FROM {events}""",
