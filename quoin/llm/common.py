@@ -32,6 +32,12 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def guarded(df: DataFrame, but: Iterable[str]) -> tuple[list, list]:
+    """Columns of ``df`` other than ``but``: under names that clash with nothing, and back."""
+    keep = [c for c in df.columns if c not in set(but)]
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)], [F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)]
+
+
 def per_text(
     df: DataFrame,
     column: str,

@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import per_text, read, text_or_empty
+from quoin.llm.common import guarded, per_text, read, text_or_empty
 
 Q, RATE = 12, 0.06
 #: Characters of benchmark text in one index.
 INDEX_CHARS = 20_000_000
 FILTER_BITS = 23
+LEAKS = "array<struct<item_id: long, distance: int, start: int, end: int>>"
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -176,7 +177,8 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-total // INDEX_CHARS))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    out = docs.drop("leaks")
+    own, back = guarded(docs, ["leaks"])
+    out = docs.select(*own, text_or_empty(text).alias("_text"), F.array().cast(LEAKS).alias("_leaks"))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -186,11 +188,11 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
             index = Index(shared.value)
             return lambda value: (index.leaks(value),)
 
-        keep = list(out.columns)
-        scanned = per_text(out.select("*", text_or_empty(text).alias("_text")), "_text", make, [("_leaks", kind)], "_leaks array<struct<item_id: long, distance: int, start: int, end: int>>")
-        found = F.concat("leaks", "_leaks") if "leaks" in keep else F.col("_leaks")
-        out = scanned.withColumn("leaks", found).drop("_leaks")
-    return out
+        # the text goes in twice where a later slice needs it again
+        more = out.withColumn("_again", F.col("_text")) if k + 1 < slices else out
+        scanned = per_text(more, "_text", make, [("_found", kind)], f"_found {LEAKS}").withColumn("_leaks", F.concat("_leaks", "_found")).drop("_found")
+        out = scanned.withColumnRenamed("_again", "_text")
+    return out.select(*back, F.col("_leaks").alias("leaks"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

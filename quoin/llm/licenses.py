@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import read, text_or_empty
+from quoin.llm.common import guarded, read, text_or_empty
 
 MOST_TEXTS = 10_000
 
@@ -44,6 +44,7 @@ SPELLINGS = {
     "programme": "program",
     "realise": "realize",
     "recognise": "recognize",
+    "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",
@@ -110,17 +111,17 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, text: str = "tex
     ``n_notices`` (lines that are a known text) and ``notices`` (their licenses, sorted)."""
     table = known_digests(docs.sparkSession, known)
     sizes = F.array(*(F.lit(r.words) for r in table.select("words").distinct().orderBy("words").collect()))
-    keep = [c for c in docs.columns if c not in (text, "license", "n_notices", "notices", "_row", "_unit", "_words")]
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text_or_empty(text).alias("_unit"))
+    own, back = guarded(docs, [text, "license", "n_notices", "notices"])
+    keep = [f"_c{i}" for i in range(len(own))]
+    rows = docs.select(*own, F.monotonically_increasing_id().alias("_row"), text_or_empty(text).alias("_unit"))
     unit = lambda whole, value: F.struct(F.lit(whole).alias("whole"), value.alias("t"))
     units = rows.withColumn("_unit", F.explode(F.concat(F.array(unit(True, F.col("_unit"))), F.transform(F.split("_unit", "\n"), lambda line: unit(False, line)))))
     worded = units.select(*keep, "_row", F.col("_unit.whole").alias("whole"), canonical_words(F.col("_unit.t")).alias("_words"))
     digested = worded.select(*keep, "_row", "whole", F.when(F.array_contains(sizes, F.size("_words")), digest(F.col("_words"))).alias("digest"))
     met = digested.join(F.broadcast(table.select("digest", "license")), "digest", "left")
     notice = F.when(~F.col("whole"), F.col("license"))
-    own = [F.first(f"`{c}`").alias(c) for c in keep]
-    found = met.groupBy("_row").agg(*own, F.max(F.when(F.col("whole"), F.col("license"))).alias("license"), F.count(notice).alias("n_notices"), F.array_sort(F.collect_set(notice)).alias("notices"))
-    return found.drop("_row")
+    found = met.groupBy("_row").agg(*(F.first(c).alias(c) for c in keep), F.max(F.when(F.col("whole"), F.col("license"))).alias("license"), F.count(notice).alias("n_notices"), F.array_sort(F.collect_set(notice)).alias("notices"))
+    return found.select(*back, "license", "n_notices", "notices")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import read, text_or_empty, written
+from quoin.llm.common import guarded, read, text_or_empty, written
 
 LEAST_WORDS, NEAR_WORDS = 3, 8
 
@@ -129,14 +129,14 @@ def dedup(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, n
     near = near_duplicates(docs, distinct, text).withColumn("near", F.lit(True))
     verdicts = distinct.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left")
     kept = verdicts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("near").isNull(), F.col("line_no")))).alias("_kept"), F.count("near").alias("_near"))
-    rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped", "n_near", "_kept", "_near")]
-    split = docs.select(*rest, F.split(text_or_empty(text), "\n").alias("_lines"))
+    own, back = guarded(docs, [text, "n_lines", "n_dropped", "n_near"])
+    split = docs.select(*own, "doc_id", F.split(text_or_empty(text), "\n").alias("_lines"))
     joined = split.join(kept, "doc_id", "left")
     # a line that an equal one on the same row's document keeps elsewhere is not in _kept
     stays = F.expr("transform(_kept, i -> _lines[i])")
     whole = F.col("doc_id").isNull()
     out = joined.select(
-        *rest,
+        *back,
         F.when(whole, F.array_join("_lines", "\n")).otherwise(F.coalesce(F.array_join(stays, "\n"), F.lit(""))).alias(text),
         F.size("_lines").cast("long").alias("n_lines"),
         F.when(whole, 0).otherwise(F.size("_lines") - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("n_dropped"),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quoin.llm.common import per_text, read, text_or_empty, written
+from quoin.llm.common import guarded, per_text, read, text_or_empty, written
 from quoin.session import cut
 
 #: What counts as a symbol, and the base limits.
@@ -43,6 +43,7 @@ SUBSET, STEPS, BINS = 0.75, 5, 8
 #: The statistics, each with the least spread that it is taken to have.
 STATISTICS = {"x1": 0.3, "x2": 0.05, "x3": 0.05, "x4": 0.05, "x5": 0.05}
 GROUPS_SENT = 20_000
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def counts(text: str) -> tuple:
@@ -79,10 +80,9 @@ def counts(text: str) -> tuple:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but its text, the counts, ``base_failed`` and the vector."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    fields = [(c, pa.int64()) for c in names] + [(c, pa.float64()) for c in STATISTICS]
-    schema = ", ".join(f"{c} long" for c in names) + ", " + ", ".join(f"{c} double" for c in STATISTICS)
-    keep = [c for c in docs.columns if c not in (*names, *STATISTICS, text, "base_failed")]
+    fields = [(c, pa.int64()) for c in COUNTS] + [(c, pa.float64()) for c in STATISTICS]
+    schema = ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in STATISTICS)
+    keep = [c for c in docs.columns if c not in (*COUNTS, *STATISTICS, text, "base_failed")]
     rows = per_text(docs.select(*keep, text_or_empty(text).alias(text)), text, lambda: counts, fields, schema)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
@@ -182,13 +182,14 @@ def judge(docs: DataFrame, text: str = "text", cutoff: float = 100.0) -> DataFra
     """The columns of ``docs`` but its text, the counts, ``base_failed``, ``outlyingness``
     (squared distance; null without an estimate) and ``kept``."""
     p, keys = len(STATISTICS), ["_lang", "_source"]
-    rows = written(statistics(docs, text).withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))}))
+    own, back = guarded(docs, [text, *COUNTS, "base_failed", "outlyingness", "kept"])
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in (("lang", "_lang"), ("source", "_source"))]
+    rows = written(statistics(docs.select(*own, *told, text_or_empty(text).alias("_text")), "_text"))
     params, n = mcd(rows.where("NOT base_failed").select(*keys, *STATISTICS), keys)
     z = {f"z{i}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for i, c in enumerate(STATISTICS)}
     far = rows.join(small(params, n), keys, "left").withColumns(z).withColumn("outlyingness", distance(p))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("outlyingness"), F.lit(0.0)) <= cutoff)
-    own = [c for c in rows.columns if c not in (*keys, *STATISTICS)]
-    return far.select(*own, "outlyingness", kept.alias("kept"))
+    return far.select(*back, *COUNTS, "base_failed", "outlyingness", kept.alias("kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

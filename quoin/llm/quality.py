@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import per_text, read, text_or_empty
+from quoin.llm.common import guarded, per_text, read, text_or_empty
 
 PASSAGE_WORDS = 80
 #: Labelled documents that the model is fitted on at most.
@@ -140,14 +140,14 @@ def scored(docs: DataFrame, model: Model, text: str = "text", carry_text: bool =
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``; without
     ``carry_text`` the text itself is left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("score", "predicted") and (carry_text or c != text)]
+    own, back = guarded(docs, ["score", "predicted", *([] if carry_text else [text])])
 
     def make():
         model = shared.value
         return lambda value: (model.score(passages(value)),)
 
-    rows = per_text(docs.select(*keep, text_or_empty(text).alias("_text")), "_text", make, [("score", pa.float64())], "score double")
-    return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    rows = per_text(docs.select(*own, text_or_empty(text).alias("_text")), "_text", make, [("score", pa.float64())], "score double")
+    return rows.select(*back, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

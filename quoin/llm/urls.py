@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import read
+from quoin.llm.common import guarded, read
 
 MOST_ENTRIES = 5_000_000
 #: The rules (host, path, verdict).
@@ -99,8 +99,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: list[str]
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    frame = pages.select(*keep, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    own, back = guarded(pages, ["host", "path", "rule", "verdict"])
+    keep = [f"_c{i}" for i in range(len(own))]
+    frame = pages.select(*own, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests(SparkFiles.get(name))
@@ -125,7 +126,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*keep, "host", "path", "rule", "verdict"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.mapInArrow(run, f"{types}, rule string, verdict string")
+    judged = frame.mapInArrow(run, f"{types}, rule string, verdict string")
+    return judged.select(*back, "host", "path", "rule", "verdict")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
