@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +47,8 @@ def cut(c: Column | str, n: int) -> Column:
 
 
 def has_any(c: Column, phrases: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p))
+    found = [F.contains(c, F.lit(p)) for p in phrases]
+    return reduce(lambda a, b: a | b, found)
 
 
 def hits(text: str, pattern: str) -> Column:

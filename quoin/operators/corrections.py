@@ -65,9 +65,11 @@ def real_correction(corrected: Column) -> Column:
 
 def only_change(original: str, corrected: str) -> Column:
     """The one word pair that differs between texts of equally many words (more than one), or null."""
-    pairs = F.filter(F.arrays_zip(words(original).alias("a"), words(corrected).alias("b")), lambda p: F.lower(p["a"]) != F.lower(p["b"]))
-    even = (F.size(words(original)) > 1) & (F.size(words(original)) == F.size(words(corrected)))
-    return F.when(even & (F.size(pairs) == 1), pairs[0])
+    # as one array of one struct, so that both texts are split once a row
+    both = F.array(F.struct(words(original).alias("a"), words(corrected).alias("b")))
+    differing = lambda x: F.filter(F.arrays_zip(x["a"].alias("a"), x["b"].alias("b")), lambda p: F.lower(p["a"]) != F.lower(p["b"]))
+    found = F.transform(both, lambda x: F.when((F.size(x["a"]) > 1) & (F.size(x["a"]) == F.size(x["b"])), differing(x)))[0]
+    return F.transform(F.array(found), lambda d: F.when(F.size(d) == 1, d[0]))[0]
 
 
 def parsed(raw: DataFrame, allowed: str) -> DataFrame:
@@ -135,9 +137,15 @@ def guillemets(corrections: DataFrame) -> DataFrame:
 
 def with_rule(corrections: DataFrame, marks: DataFrame) -> DataFrame:
     """``corrections`` with ``fp_rule``, the first rule that rejects the row, or null."""
-    rows = corrections.join(marks, "job_id", "left")
-    orig, corr = strip(F.coalesce("original_text", F.lit(""))), strip(F.coalesce("corrected_text", F.lit("")))
-    expl, desc, cat = strip(F.lower(F.coalesce("explanation", F.lit("")))), F.lower(F.coalesce("description", F.lit(""))), F.col("category")
+    # below the join, so that each is made once a row however many rules read it
+    made = {
+        "_orig": strip(F.coalesce("original_text", F.lit(""))),
+        "_corr": strip(F.coalesce("corrected_text", F.lit(""))),
+        "_expl": strip(F.lower(F.coalesce("explanation", F.lit("")))),
+        "_desc": F.lower(F.coalesce("description", F.lit(""))),
+    }
+    rows = corrections.withColumns(made).join(marks, "job_id", "left")
+    orig, corr, expl, desc, cat = F.col("_orig"), F.col("_corr"), F.col("_expl"), F.col("_desc"), F.col("category")
     said = F.concat_ws(" ", desc, expl)
     quotes = r'[«»"“”‘’\s]'
     bare = lambda c: F.regexp_replace(c, quotes, "")
@@ -166,7 +174,7 @@ def with_rule(corrections: DataFrame, marks: DataFrame) -> DataFrame:
         .when((cat == "F") & has_any(said, SPACING), "interligne_mise_en_page")
         .when((cat == "C") & (F.contains(said, F.lit("double espace")) | (F.contains(orig, F.lit("  ")) & (corr != "") & ~F.contains(corr, F.lit("  ")))), "double_espace_justification")
     )
-    return rows.withColumn("fp_rule", rule).drop("guillemets")
+    return rows.withColumn("fp_rule", rule).drop("guillemets", *made)
 
 
 def filtered(corrections: DataFrame) -> DataFrame:
@@ -203,11 +211,13 @@ def overlap(a: str, b: str) -> str:
 def undominated(rows: DataFrame) -> DataFrame:
     """Rows whose text neither holds nor lies in that of a better row kept on the same page.
     The order matters: a dominated row dominates none. A page's rows are one array."""
-    entry = F.struct(priority("category").alias("p"), "position", key("original_text").alias("k"))
-    pages = rows.groupBy("job_id", "page_number").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    kept = F.expr(f"aggregate(all, slice(all, 1, 0), (kept, x) -> IF(exists(kept, y -> {overlap('x.k', 'y.k')}), kept, concat(kept, array(x))))")
-    places = pages.select("job_id", "page_number", F.explode(F.transform(kept, lambda x: x["position"])).alias("position"))
-    return rows.join(places, ["job_id", "page_number", "position"])
+    rest = [c for c in rows.columns if c not in ("job_id", "page_number", "position")]
+    entry = F.struct(priority("category").alias("p"), "position", key("original_text").alias("k"), F.struct(*rest).alias("row"))
+    pages = rows.groupBy("job_id", "page_number").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+    none = "cast(array() AS array<struct<k: string, position: bigint>>)"
+    kept = F.expr(f"aggregate(all, {none}, (kept, x) -> IF(exists(kept, y -> {overlap('x.k', 'y.k')}), kept, concat(kept, array(named_struct('k', x.k, 'position', x.position)))))")
+    stay = pages.withColumn("kept", F.transform(kept, lambda x: x["position"])).select("job_id", "page_number", F.explode(F.expr("filter(all, x -> array_contains(kept, x.position))")).alias("x"))
+    return stay.select("job_id", "page_number", "x.position", "x.row.*")
 
 
 def capped(rows: DataFrame) -> DataFrame:
@@ -217,7 +227,9 @@ def capped(rows: DataFrame) -> DataFrame:
 
 
 def deduplicated(corrections: DataFrame) -> DataFrame:
-    return capped(undominated(exactly_deduplicated(fuzzy_deduplicated(corrections))))
+    """All four steps. Dealt out by page once, which the first three steps all keep to."""
+    dealt = corrections.repartition("job_id", "page_number")
+    return capped(undominated(exactly_deduplicated(fuzzy_deduplicated(dealt))))
 
 
 def contradictions(corrections: DataFrame) -> DataFrame:
