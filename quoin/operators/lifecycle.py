@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Transient states, seconds a step takes for 50 pages, steps of the tracker.
 TRANSIENT = ["pending", "extracting", "processing", "annotating"]
-STEP_SECONDS = {"extract": 3, "claude": 120, "factcheck": 30, "annotate": 8}
+STEP_SECONDS = {"extract": 3, "analyse": 120, "factcheck": 30, "annotate": 8}
 STEP_FROM = [5, 15, 75, 88]
 SECONDS_50, EXTRA = 50, 25
 
@@ -37,7 +37,7 @@ def blocked(limit: Column, spent: Column) -> Column:
 def step_seconds(pages: Column) -> dict[str, Column]:
     ratio = F.greatest(F.lit(1), pages) / SECONDS_50
     extra = F.when(pages > 100, F.floor((pages - 100) / 60) * EXTRA).otherwise(0)
-    return {k: v * ratio + (extra if k == "claude" else 0) for k, v in STEP_SECONDS.items()}
+    return {k: v * ratio + (extra if k == "analyse" else 0) for k, v in STEP_SECONDS.items()}
 
 
 def remaining(jobs: DataFrame) -> DataFrame:

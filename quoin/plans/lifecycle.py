@@ -22,7 +22,7 @@ query("l03_month_rollover", ["users"], lambda u: c.rolled_over(u, now()).select(
 query("l03_monthly_spend", ["jobs"], c.monthly_spend, "SELECT user_id, strftime(created_at, '%Y-%m') AS month, round(sum(actual_cost_usd), 6) AS spend FROM {jobs} GROUP BY ALL")
 query("l04_quota_gate", ["users"], lambda u: u.select("id", c.blocked(F.col("monthly_limit_usd"), F.col("current_month_spend_usd")).alias("blocked")), "SELECT id, monthly_limit_usd > 0 AND current_month_spend_usd >= monthly_limit_usd AS blocked FROM {users}")
 query("l05_reset_errored", ["jobs", "corrections"], lambda j, k: k.join(j.where("status = 'error'").select(F.col("id").alias("job_id")), "job_id", "left_anti").select("id"), "SELECT id FROM {corrections} WHERE job_id NOT IN (SELECT id FROM {jobs} WHERE status = 'error')")
-STEPS = """st AS (SELECT id, unnest([0, 1, 2, 3]) AS step_no, unnest(['extract', 'claude', 'factcheck', 'annotate']) AS step, greatest(1, pages_count) / 50::DOUBLE AS ratio, CASE WHEN pages_count > 100 THEN (pages_count - 100) // 60 * 25 ELSE 0 END AS extra FROM {jobs}),
+STEPS = """st AS (SELECT id, unnest([0, 1, 2, 3]) AS step_no, unnest(['extract', 'analyse', 'factcheck', 'annotate']) AS step, greatest(1, pages_count) / 50::DOUBLE AS ratio, CASE WHEN pages_count > 100 THEN (pages_count - 100) // 60 * 25 ELSE 0 END AS extra FROM {jobs}),
   sec AS (SELECT id, step_no, step, CASE step_no WHEN 0 THEN 3 * ratio WHEN 1 THEN 120 * ratio + extra WHEN 2 THEN 30 * ratio ELSE 8 * ratio END AS seconds FROM st),
   rem AS (SELECT *, sum(seconds) OVER (PARTITION BY id ORDER BY step_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_ FROM sec)"""
 LEFT = lambda x: f"CASE WHEN {x} < 5 THEN 'presque terminé…' WHEN {x} < 60 THEN '~' || floor({x})::INT || 's' ELSE '~' || floor({x} / 60)::INT || ' min' END"
