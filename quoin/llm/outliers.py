@@ -12,8 +12,9 @@ shrinks to some hundred rows before the shuffle. The subset ends at a bin's uppe
 Only the five by five inverse is made in Python, once a group and step.
 
 Null texts count as empty: no words. Null lang or source is a group of its own. Rows that fail
-the base rules stay out of the estimates. Groups of fewer than ``least`` such rows get no
-estimate and reject nothing, and neither does an empty table. Repeated rows are judged alike.
+the base rules stay out of the estimates. Groups of fewer than ``least`` other rows are held
+against the estimate of their whole language; a language of fewer rows than that rejects
+nothing, and neither does an empty table. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -178,16 +179,21 @@ def mcd(rows: DataFrame, keys: list[str], least: int = 60) -> tuple[DataFrame, i
     return params, n
 
 
-def judge(docs: DataFrame, text: str = "text", cutoff: float = 100.0) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", cutoff: float = 140.0) -> DataFrame:
     """The columns of ``docs`` but its text, the counts, ``base_failed``, ``outlyingness``
     (squared distance; null without an estimate) and ``kept``."""
     p, keys = len(STATISTICS), ["_lang", "_source"]
     own, back = guarded(docs, [text, *COUNTS, "base_failed", "outlyingness", "kept"])
     told = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in (("lang", "_lang"), ("source", "_source"))]
     rows = written(statistics(docs.select(*own, *told, text_or_empty(text).alias("_text")), "_text"))
-    params, n = mcd(rows.where("NOT base_failed").select(*keys, *STATISTICS), keys)
+    fit = rows.where("NOT base_failed").select(*keys, *STATISTICS)
     z = {f"z{i}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for i, c in enumerate(STATISTICS)}
-    far = rows.join(small(params, n), keys, "left").withColumns(z).withColumn("outlyingness", distance(p))
+
+    def measured(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        params, n = mcd(fit, by)
+        return rows.join(small(params, n), by, "left").withColumns(z).withColumn(name, distance(p)).drop(*(c for c in params.columns if c not in by), *z)
+
+    far = measured(measured(rows, keys, "_near"), keys[:1], "_wide").withColumn("outlyingness", F.coalesce("_near", "_wide"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("outlyingness"), F.lit(0.0)) <= cutoff)
     return far.select(*back, *COUNTS, "base_failed", "outlyingness", kept.alias("kept"))
 
