@@ -120,6 +120,8 @@ class Index:
         kept = counts >= self.bound[owners]
         best: dict[int, tuple[int, int, int]] = {}
         for own, b in zip(owners[kept].tolist(), bands[kept].tolist()):
+            if own in best and best[own][0] == 0:
+                continue
             budget = int(self.edits[own])
             item = self.texts[own]
             start = max(0, b * self.width - budget)
@@ -130,12 +132,23 @@ class Index:
         return [{"item_id": self.ids[own], "distance": d, "start": s, "end": e} for own, (d, s, e) in sorted(best.items())]
 
 
+def whole(item: np.ndarray, window: np.ndarray) -> int:
+    """Where the item lies in the window without an edit, or -1."""
+    needle, hay = item.tobytes(), window.tobytes()
+    at = hay.find(needle)
+    while at >= 0 and at % item.itemsize:
+        at = hay.find(needle, at + 1)
+    return at // item.itemsize if at >= 0 else -1
+
+
 def aligned(item: np.ndarray, window: np.ndarray, budget: int) -> tuple[int, int, int] | None:
     """Distance, start and end of the item's nearest place in the window, if within budget.
 
     Rows run over the item, columns over the window, whose start and end are free. Only the
     diagonals of the window's band are there, as the window is no wider than it."""
     n, m = len(item), len(window)
+    if (at := whole(item, window)) >= 0:
+        return 0, at, at + n
     far = budget + 1
     width = m - n + 2 * budget + 1  # diagonals from -budget to m - n + budget
     if width <= 0:
