@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quoin.operators import batching as b
 from quoin.operators import mining as m
 from quoin.plans.corrections import KEY
-from quoin.plans.mining import FORMS, FULL, LINES
+from quoin.plans.mining import FORMS, LINES
 from quoin.plans.registry import query
 
 BLANK = r"[\s\x{A0}\x{202F}]"

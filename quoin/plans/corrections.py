@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quoin.functions.text import MARKED, SUPERSCRIPTS, UNMARKED, count_of, key
+from quoin.functions.text import MARKED, SUPERSCRIPTS, UNMARKED, key
 from quoin.operators import corrections as c
 from quoin.plans.mining import strip
 from quoin.plans.registry import query
