@@ -35,28 +35,30 @@ def line_words(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def part(words: Column, start: Column, size: Column, tag: str) -> Column:
-    return F.xxhash64(F.array_join(F.slice(words, start, size), " "), F.lit(tag))
+def half(size: Column, tag: str) -> Column:
+    """Key of the first words of ``joined``, or with a negative size of the last."""
+    return F.xxhash64(F.call_function("substring_index", F.col("joined"), F.lit(" "), size), F.lit(tag))
 
 
 def keyed_lines(docs: DataFrame, text: str, least_words: int, near_words: int) -> DataFrame:
     """Every line's place and the hashed keys of its words and of their halves."""
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("joined")).withColumn("words", F.split("joined", " "))
-    counted = words.withColumn("n", F.when(F.col("joined") == "", 0).otherwise(F.size("words")))
+    words = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("joined"))
+    blanks = F.octet_length("joined") - F.octet_length(F.replace("joined", F.lit(" "), F.lit("")))
+    counted = words.withColumn("n", F.when(F.col("joined") == "", 0).otherwise(blanks + 1))
     judged = F.col("n") >= least_words
-    near = F.col("n") >= near_words
-    short, long = F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")
-    half = lambda start, size, tag: F.when(near, part(F.col("words"), start, size, tag))
+    # a line of 2k words has halves of k and of k - 1 words, one of 2k + 1 words those of k
+    near, even = F.col("n") >= near_words, (F.col("n") >= near_words) & (F.col("n") % 2 == 0)
+    k = F.floor(F.col("n") / 2).cast("int")
     return counted.select(
         judged.alias("judged"),
         F.when(judged, F.xxhash64("joined")).otherwise(F.col("doc_id")).alias("h1"),
         F.when(judged, F.xxhash64(F.concat(F.lit("~"), "joined"))).otherwise(F.col("line_no").cast("long")).alias("h2"),
         F.struct("doc_id", "line_no").alias("at"),
-        half(F.lit(1), short, "first").alias("p1"),
-        half(F.lit(1), long, "first").alias("p2"),
-        half(F.col("n") - short + 1, short, "last").alias("s1"),
-        half(F.col("n") - long + 1, long, "last").alias("s2"),
+        F.when(near, half(k, "first")).alias("p1"),
+        F.when(even, half(k - 1, "first")).alias("p2"),
+        F.when(near, half(-k, "last")).alias("s1"),
+        F.when(even, half(1 - k, "last")).alias("s2"),
     )
 
 
@@ -68,7 +70,7 @@ def distinct_lines(keyed: DataFrame) -> DataFrame:
 def sharing(distinct: DataFrame) -> DataFrame:
     """Places of distinct lines that share a half with another, and which halves they share."""
     halves = distinct.where("p1 IS NOT NULL").select("doc_id", "line_no", F.explode(F.expr("array_distinct(array(struct(true AS head, p1 AS half), struct(true AS head, p2 AS half), struct(false AS head, s1 AS half), struct(false AS head, s2 AS half)))")).alias("_h"))
-    halves = halves.select("doc_id", "line_no", "_h.head", "_h.half")
+    halves = halves.select("doc_id", "line_no", "_h.head", "_h.half").where("half IS NOT NULL")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     return halves.join(shared, "half").groupBy("doc_id", "line_no").agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
 
