@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -240,8 +241,6 @@ def rows_out(rows: list[tuple]) -> pa.RecordBatch:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back, in the merged index's order."""
-    import uuid
-
     pages = read_table(spark, sf_dir, "pages")
     captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
     path = f"{shared_folder(spark)}/quoin-warc-{uuid.uuid4().hex}"
