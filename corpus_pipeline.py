@@ -6,8 +6,9 @@ last return the columns of ``documents``. ``run`` applies them to ``documents``,
 result written as Parquet in the shared folder and read again as the next one's input.
 
 Nulls, empty texts, repeated rows and extra columns are handled as the operators' own notes
-say. A document whose lines all go in line dedup is dropped there, as all it says is said by
-an earlier one; documents that were empty before stay.
+say. Line dedup judges every line that has a letter or digit. A document of which no such line
+is left is dropped there, as all it says is said by earlier ones, whatever blank lines it has;
+documents without such a line before stay.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their repeated lines taken out; those with no other lines go."""
-    rows = lines.dedup(docs)
-    return _documents(rows.where("n_dropped = 0 OR n_dropped < n_lines"))
+    """Documents with their repeated lines taken out; those with no other lines go.
+
+    Lines of one word are judged too: of a copy, else, they would stay as a document."""
+    rows = lines.dedup(docs, least_words=1)
+    return _documents(rows.where("n_dropped = 0 OR n_dropped < n_judged"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

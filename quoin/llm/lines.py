@@ -64,7 +64,7 @@ def keyed_lines(docs: DataFrame, text: str, least_words: int, near_words: int) -
 
 def distinct_lines(keyed: DataFrame) -> DataFrame:
     halves = ["p1", "p2", "s1", "s2"]
-    return keyed.groupBy("judged", "h1", "h2").agg(F.min("at").alias("at"), *(F.max(c).alias(c) for c in halves)).select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), *halves)
+    return keyed.groupBy("judged", "h1", "h2").agg(F.min("at").alias("at"), *(F.max(c).alias(c) for c in halves)).select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "judged", *halves)
 
 
 def sharing(distinct: DataFrame) -> DataFrame:
@@ -125,27 +125,30 @@ def _left_out(long: str, short: str) -> str:
 
 
 def dedup(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """``docs`` with the lines that stay as ``text``, and ``n_lines``, ``n_dropped``, ``n_near``:
-    lines, lines dropped, and those of them dropped for a near duplicate."""
+    """``docs`` with the lines that stay as ``text``, and ``n_lines``, ``n_dropped``, ``n_near``,
+    ``n_judged``: lines, lines dropped, those of them dropped for a near duplicate, and lines
+    that were compared at all."""
     distinct = written(distinct_lines(keyed_lines(docs, text, least_words, near_words)))
     near = near_duplicates(docs, distinct, text).withColumn("near", F.lit(True))
-    verdicts = distinct.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left")
-    kept = verdicts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("near").isNull(), F.col("line_no")))).alias("_kept"), F.count("near").alias("_near"))
-    own, back = guarded(docs, [text, "n_lines", "n_dropped", "n_near"])
+    verdicts = distinct.select("doc_id", "line_no", "judged").join(near, ["doc_id", "line_no"], "left")
+    kept = verdicts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("near").isNull(), F.col("line_no")))).alias("_kept"), F.count("near").alias("_near"), F.count_if(F.col("near").isNull() & F.col("judged")).alias("_new"))
+    own, back = guarded(docs, [text, "n_lines", "n_dropped", "n_near", "n_judged"])
     split = docs.select(*own, "doc_id", F.split(text_or_empty(text), "\n").alias("_lines"))
     joined = split.join(kept, "doc_id", "left")
     # a line that an equal one on the same row's document keeps elsewhere is not in _kept
     stays = F.expr("transform(_kept, i -> _lines[i])")
     whole = F.col("doc_id").isNull()
+    dropped = F.when(whole, 0).otherwise(F.size("_lines") - F.coalesce(F.size("_kept"), F.lit(0))).cast("long")
     out = joined.select(
         *back,
         F.when(whole, F.array_join("_lines", "\n")).otherwise(F.coalesce(F.array_join(stays, "\n"), F.lit(""))).alias(text),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.size("_lines") - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("n_dropped"),
+        dropped.alias("n_dropped"),
         F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
+        (dropped + F.coalesce("_new", F.lit(0))).alias("n_judged"),
     )
     order = [c for c in docs.columns if c in out.columns]
-    return out.select(*order, "n_lines", "n_dropped", "n_near")
+    return out.select(*order, "n_lines", "n_dropped", "n_near", "n_judged")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,6 +384,14 @@ def test_pipeline_stages_on_odd_input(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_line_stage_leaves_no_stub_of_a_copy(spark, sf_dir):
+    text = "a first line of several words\n\nHaanth.\n***\nanother line of some words"
+    other = "Les.\nJa.\na first line of several words"
+    docs = [(1, text), (2, text), (3, text + "\nand a line of its own"), (4, "\nHaanth.\n"), (5, ""), (6, "***"), (7, other), (8, other), (8, other)]
+    out = corpus_pipeline.line_stage(spark, docs_of(spark, [(i, t, "en", "s", len(t)) for i, t in docs]), sf_dir)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: text, 3: "\n***\nand a line of its own", 5: "", 6: "***", 7: "Les.\nJa."}
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
