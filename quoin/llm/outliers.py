@@ -4,7 +4,11 @@ Every document gets counts over its whole text. From them comes a vector of tran
 statistics, and for each (lang, source) a minimum-covariance-determinant estimate of its
 place and spread: starting from quartiles, each concentration step keeps the ``SUBSET`` of
 rows nearest by Mahalanobis distance and takes mean and covariance of those. A document
-whose distance under the last estimate exceeds ``cutoff`` is rejected.
+whose distance under the last estimate exceeds its language's cut-off is rejected. That is
+the chi-square quantile of ``share``, stretched as far as the upper half of the language's
+own distances is: to their median and, in the exponent, to their upper quartile. For normal
+rows it is the quantile itself; heavy tails move it out, and so do junk rows as they come
+near a quarter of a language.
 
 All rows take part in every step and no group is gathered: a step is one aggregation to
 (group, bin of log distance) with sums of first and second moments, so a group of any size
@@ -13,8 +17,8 @@ Only the five by five inverse is made in Python, once a group and step.
 
 Null texts count as empty: no words. Null lang or source is a group of its own. Rows that fail
 the base rules stay out of the estimates. Groups of fewer than ``least`` other rows are held
-against the estimate of their whole language; a language of fewer rows than that rejects
-nothing, and neither does an empty table. Repeated rows are judged alike.
+against the estimate of their whole language, languages of fewer rows than that against the
+estimate of the whole corpus, which any row suffices for. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -179,23 +183,44 @@ def mcd(rows: DataFrame, keys: list[str], least: int = 60) -> tuple[DataFrame, i
     return params, n
 
 
-def judge(docs: DataFrame, text: str = "text", cutoff: float = 140.0) -> DataFrame:
+def cut_offs(rows: DataFrame, by: list[str], share: float, least: int) -> tuple[DataFrame, int]:
+    """For each group the distance beyond which a row is an outlier, and the number of groups."""
+    p = len(STATISTICS)
+    middle, upper = quantile(p, 0.5), quantile(p, 0.75)
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(F.col("outlyingness") + 1e-9, [0.5, 0.75], 10_000).alias("q")).where(F.col("n") >= least)
+    stretch = F.greatest(F.lit(1.0), F.log(F.col("q")[1] / F.col("q")[0]) / math.log(upper / middle))
+    out = cut(found.select(*by, (F.col("q")[0] * F.pow(F.lit(quantile(p, share) / middle), stretch)).alias("cutoff")))
+    return out, out.count()
+
+
+def outlying(rows: DataFrame, share: float = 0.9999, least: int = 60) -> DataFrame:
+    """``rows`` (``_lang``, ``_source``, the statistics, ``base_failed``) with ``outlyingness``
+    (squared distance; null where no row passes the base rules) and ``cutoff``."""
+    p = len(STATISTICS)
+    z = {f"z{i}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for i, c in enumerate(STATISTICS)}
+    levels = [(["_lang", "_source"], least), (["_lang"], least), (["_whole"], 1)]
+    far = rows.withColumn("_whole", F.lit(""))
+    fit = far.where("NOT base_failed").select("_lang", "_source", "_whole", *STATISTICS)
+    for k, (by, few) in enumerate(levels):
+        params, n = mcd(fit.select(*by, *STATISTICS), by, few)
+        far = far.join(small(params, n), by, "left").withColumns(z).withColumn(f"_far{k}", distance(p)).drop(*(c for c in params.columns if c not in by), *z)
+    far = far.withColumn("outlyingness", F.coalesce(*(f"_far{k}" for k in range(len(levels)))))
+    judged = far.where("NOT base_failed")
+    for k, (by, few) in enumerate(levels[1:]):
+        limits, n = cut_offs(judged, by, share, few)
+        far = far.join(small(limits.withColumnRenamed("cutoff", f"_cut{k}"), n), by, "left")
+    return far.withColumn("cutoff", F.coalesce("_cut0", "_cut1"))
+
+
+def judge(docs: DataFrame, text: str = "text", share: float = 0.9999) -> DataFrame:
     """The columns of ``docs`` but its text, the counts, ``base_failed``, ``outlyingness``
     (squared distance; null without an estimate) and ``kept``."""
-    p, keys = len(STATISTICS), ["_lang", "_source"]
     own, back = guarded(docs, [text, *COUNTS, "base_failed", "outlyingness", "kept"])
     told = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in (("lang", "_lang"), ("source", "_source"))]
     rows = written(statistics(docs.select(*own, *told, text_or_empty(text).alias("_text")), "_text"))
-    fit = rows.where("NOT base_failed").select(*keys, *STATISTICS)
-    z = {f"z{i}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for i, c in enumerate(STATISTICS)}
-
-    def measured(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-        params, n = mcd(fit, by)
-        return rows.join(small(params, n), by, "left").withColumns(z).withColumn(name, distance(p)).drop(*(c for c in params.columns if c not in by), *z)
-
-    far = measured(measured(rows, keys, "_near"), keys[:1], "_wide").withColumn("outlyingness", F.coalesce("_near", "_wide"))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("outlyingness"), F.lit(0.0)) <= cutoff)
-    return far.select(*back, *COUNTS, "base_failed", "outlyingness", kept.alias("kept"))
+    far = outlying(rows, share)
+    kept = ~F.col("base_failed") & (F.col("outlyingness") <= F.col("cutoff"))
+    return far.select(*back, *COUNTS, "base_failed", "outlyingness", F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,6 +346,20 @@ def test_mcd_withstands_contamination(spark):
     assert n == 1 and max(map(abs, centre)) < 0.3
 
 
+def test_outliers_are_rejected_on_any_data(spark):
+    rng = np.random.default_rng(5)
+    cov = 0.05 * (np.eye(5) + 0.5)
+    rows = [("big", "s", False, *map(float, x)) for x in rng.multivariate_normal(np.zeros(5), cov, 1500)]
+    rows += [("rare", "s", False, *map(float, x)) for x in rng.multivariate_normal(np.zeros(5), cov, 20)]
+    far = [2.5 * 0.05**0.5, *[-2.5 * 0.05**0.5] * 4]
+    rows += [(lang, "junk", False, *[2 * x for x in far]) for lang in ("big", "rare", "none else")]
+    frame = spark.createDataFrame(rows, "_lang string, _source string, base_failed boolean, " + ", ".join(f"{c} double" for c in outliers.STATISTICS))
+    got = outliers.outlying(frame).collect()
+    junk = [r for r in got if r._source == "junk"]
+    assert len(got) == len(rows) and all(r.outlyingness > r.cutoff for r in junk) and min(r.outlyingness for r in junk) < 140
+    assert sum(r.outlyingness > r.cutoff for r in got if r._source == "s") <= 2
+
+
 @pytest.mark.parametrize("change", [str.upper, lambda t: "Copyright (c) 2020 A. Person\n\n" + t, lambda t: t.replace(",", " , ").replace(" ", "\n"), lambda t: t.replace("license", "licence")])
 def test_license_texts_are_found_in_any_dress(spark, change):
     rows = [(i, change(text), "en", "s", 0) for i, (_, text) in enumerate(licenses.KNOWN)] + [(99, licenses.KNOWN[0][1] + " more", "en", "s", 0)]
