@@ -4,10 +4,11 @@ A first pass over the whole texts finds parts: spans with a role (access identif
 endpoint) that are strong by themselves or weak. Strong spans are always reported. A weak
 span is reported only where the parts that complete it lie near by, in the same scope of the
 same text: an access identifier beside a secret, a secret beside an access identifier, an
-endpoint beside both. "Near" is an interval join: parts are dealt into buckets of ``reach``
-code points, each bucket keeps for every role its first and last place, and a weak span looks
-into its own bucket and the two beside it. No pairs of parts are made, however many stand in
-one bucket. A scope ends at a blank line.
+endpoint beside both. "Near" is an interval join: with ``gaps`` at most ``reach`` code points lie between
+the two spans, however long they are, else between their starts. Parts are dealt into all buckets of ``reach`` code points
+that they touch, each bucket keeps for every role its first start and last end, and a weak span
+looks into the buckets from ``reach`` before its start to ``reach`` behind its end. No pairs of
+parts are made, however many stand in one bucket. A scope ends at a blank line.
 
 Null and empty texts have no spans and are still returned, each with empty results. Texts are
 read whole. Repeated rows, also such of one doc_id, are judged row by row. Columns other than
@@ -77,7 +78,7 @@ def parts(text: str) -> list[tuple]:
     return [(None, None, None, None), *((kind, start, end, bisect_left(breaks, start)) for kind, start, end in spans)]
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = 300) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", reach: int = 300, gaps: bool = False) -> DataFrame:
     """A row per row of ``docs``: its other columns and ``spans``, an array of
     (start, kind_no, kind, end), sorted, with places in code points, ends exclusive."""
     keep = [c for c in docs.columns if c not in (text, "spans")]
@@ -87,10 +88,12 @@ def scan(docs: DataFrame, text: str = "text", reach: int = 300) -> DataFrame:
     found = cut(per_text(frame, "_text", lambda: parts, fields, "kind string, start int, end int, scope int", many=True))
 
     role = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))[F.col("kind")]
-    spans = found.where("kind IS NOT NULL").select("_row", "kind", "start", "end", "scope", role.alias("role"), F.floor(F.col("start") / reach).cast("int").alias("bucket"))
-    places = spans.groupBy("_row", "scope", "bucket", F.col("role").alias("beside")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    weak = spans.where(F.col("kind").isin([kind for kind, _, _ in WEAK])).withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
-    near = weak.join(places, ["_row", "scope", "bucket"]).where((F.col("beside") != F.col("role")) & (F.col("last") >= F.col("start") - reach) & (F.col("first") <= F.col("start") + reach))
+    spans = found.where("kind IS NOT NULL").select("_row", "kind", "start", "end", "scope", role.alias("role"))
+    stop = "end" if gaps else "start"
+    buckets = lambda first, last: F.explode(F.sequence(F.floor(first / reach).cast("int"), F.floor(last / reach).cast("int")))
+    places = spans.withColumn("bucket", buckets(F.col("start"), F.col(stop))).groupBy("_row", "scope", "bucket", F.col("role").alias("beside")).agg(F.min("start").alias("first"), F.max(stop).alias("last"))
+    weak = spans.where(F.col("kind").isin([kind for kind, _, _ in WEAK])).withColumn("bucket", buckets(F.col("start") - reach, F.col(stop) + reach))
+    near = weak.join(places, ["_row", "scope", "bucket"]).where((F.col("beside") != F.col("role")) & (F.col("last") >= F.col("start") - reach) & (F.col("first") <= F.col(stop) + reach))
     have = near.groupBy("_row", "kind", "start", "end", "role").agg(F.collect_set("beside").alias("with"))
     both = F.array_contains("with", "access") & F.array_contains("with", "secret")
     linked = have.where(
@@ -113,7 +116,7 @@ def listed(spans):
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), gaps=True)
     base = F.filter("spans", lambda s: s["kind_no"] <= 3)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
