@@ -9,10 +9,12 @@ buckets borrow from others by a fixed sequence of probes, so short texts have fu
 2. Bands of registers are hashed; nodes with an equal band hang on the least of them (a star,
    not pairs), and the components of these stars are the candidate clusters: every candidate
    pair lies in one.
-3. The sets of clustered nodes are fetched once. A task gets a cluster, or of a large one a
-   block and two hubs, estimates the Jaccard similarity of its pairs from the registers,
-   corrected for chance collisions, and confirms on the full sets those that may reach the
-   threshold and are not yet connected. It returns links, fewer than it has nodes.
+3. Clusters are dealt out in blocks, by their ids alone, before the sets of clustered nodes are
+   made. A group is a cluster, or of a large one a block and two hubs. Groups go to tasks by
+   cluster and block, so a large cluster is spread over all of them. A task estimates the Jaccard
+   similarity of a group's pairs from the registers, corrected for chance collisions, and
+   confirms on the full sets those that may reach the threshold and are not yet connected. It
+   returns links, fewer than it has nodes.
 4. In large clusters, nodes outside the largest component so far are then held, in blocks,
    against all nodes of their cluster, so no block boundary costs a link.
 
@@ -22,7 +24,8 @@ estimate, which stands four standard errors below the threshold, with one of abo
 Null and empty texts have an empty set and are linked with nothing. A text of fewer words
 than a shingle is one shingle. Rows with a null doc_id are linked with nothing; their
 component is null and they are kept. Rows of one doc_id with unlike sets are one node with
-several sets. Extra columns are not read by ``groups``; ``dedup`` carries them along.
+several sets. A doc_id is an integer; other types are refused. Extra columns are not read by
+``groups``; ``dedup`` carries them along.
 """
 
 from __future__ import annotations
@@ -187,15 +190,27 @@ def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
     return per_text(docs.select("doc_id", text_or_empty(text).alias("_text")), "_text", make, fields, "n_shingles long, digest binary, bands array<long>")
 
 
+def dealt_out(clusters: DataFrame) -> DataFrame:
+    """(node, cluster) with the number of blocks of the cluster and the node's blocks: one, or
+    all of them for the two hubs of a large cluster."""
+    hashed = F.struct(F.xxhash64("node"), "node")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min(hashed).alias("hub1"), F.max(hashed).alias("hub2"))
+    sized = clusters.join(sizes.select("cluster", "n", F.col("hub1.node").alias("hub1"), F.col("hub2.node").alias("hub2")), "cluster")
+    many = F.when(F.col("n") > CLUSTER_NODES, F.ceil(F.col("n") / (CLUSTER_NODES // 2))).otherwise(1).cast("int")
+    hub = F.col("node").isin(F.col("hub1"), F.col("hub2"))
+    own = F.when(hub, F.expr("sequence(0, blocks - 1)")).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    return sized.withColumn("blocks", many).select("node", "cluster", "blocks", own.alias("own"))
+
+
 def node_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """The sets of ``wanted`` (node, cluster), made anew from the texts; a node is a doc_id."""
+    """``wanted`` (node and more) with its sets, made anew from the texts; a node is a doc_id."""
     rows = docs.select(F.col("doc_id").alias("node"), text_or_empty(text).alias("_text")).join(wanted, "node")
 
     def make():
         known = WordHashes()
         return lambda value: (shingle_set(value, words, known).tobytes(),)
 
-    made = per_text(rows.select("node", "cluster", "_text"), "_text", make, [("hashes", pa.binary())], "hashes binary")
+    made = per_text(rows.select(*wanted.columns, "_text"), "_text", make, [("hashes", pa.binary())], "hashes binary")
     return made.where(F.length("hashes") > 0)
 
 
@@ -221,29 +236,25 @@ def links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
         joined = [x for x in root if find(x) != x]
         return pd.DataFrame({"a": joined, "b": [find(x) for x in joined]}, dtype="int64")
 
-    return rows.select(*keys, "node", "label", "query", "hashes").groupBy(*keys).applyInPandas(one, "a long, b long")
+    # else an exchange by the cluster alone, made for a join, would serve the groups, all blocks in one task
+    dealt = rows.select(*keys, "node", "label", "query", "hashes").repartition(*keys)
+    return dealt.groupBy(*keys).applyInPandas(one, "a long, b long")
 
 
 def cluster_links(sets: DataFrame, percent: int) -> DataFrame:
-    """All links of the clusters in ``sets`` (node, cluster, hashes), as a spanning set."""
+    """All links of the clusters in ``sets`` (node, cluster, blocks, own, hashes), as a spanning set."""
     half = CLUSTER_NODES // 2
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node")).alias("hub1"), F.max(F.struct(F.xxhash64("node"), "node")).alias("hub2"))
-    sized = sets.join(sizes.select("cluster", "n", F.col("hub1.node").alias("hub1"), F.col("hub2.node").alias("hub2")), "cluster")
-    large = F.col("n") > CLUSTER_NODES
-    blocks = F.when(large, F.ceil(F.col("n") / half)).otherwise(1).cast("int")
-    dealt = sized.withColumn("blocks", blocks).withColumn(
-        "block", F.explode(F.when(F.col("node").isin(F.col("hub1"), F.col("hub2")), F.expr("sequence(0, blocks - 1)")).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))))
-    )
+    dealt = sets.withColumn("block", F.explode("own"))
     found = written(links(dealt.withColumns({"label": F.col("node"), "query": F.lit(True)}), ["cluster", "block"], percent))
-    rest = sized.where(large)
+    rest = sets.where("blocks > 1")
     if rest.limit(1).count() == 0:
         return found
-    labelled = rest.join(components(found).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = written(labelled.select("cluster", "node", "hashes", "label"))
+    named = rest.select("cluster", "node").distinct().join(components(found).withColumnRenamed("root", "label"), "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label"))
+    labelled = written(named)
     by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("m"))
     # the largest component of a cluster has no queries: a link to it has one at its other end
     chief = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("chief"), F.sum("m").alias("all"), F.max("m").alias("most"))
-    asked = labelled.join(chief.where("most < all"), "cluster")
+    asked = rest.select("node", "hashes").join(labelled.join(chief.where("most < all"), "cluster"), "node")
     query = F.col("label") != F.col("chief")
     q_blocks, t_blocks = F.ceil((F.col("all") - F.col("most")) / half).cast("int"), F.ceil(F.col("all") / half).cast("int")
     spread = asked.select("cluster", "node", "hashes", "label", query.alias("is_query"), q_blocks.alias("qs"), t_blocks.alias("ts"), F.xxhash64("node").alias("h"))
@@ -254,6 +265,8 @@ def cluster_links(sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"doc_id is {docs.schema['doc_id'].dataType.simpleString()}, not an integer")
     docs = docs.select("doc_id", text)
     rows = written(sketched(docs, text, words))
     sets = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
@@ -262,7 +275,7 @@ def groups(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 8
     keys = nodes.select("node", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     clusters = components(keys.join(stars, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("cluster"))
-    roots = components(cluster_links(written(node_sets(docs, text, words, clusters)), percent))
+    roots = components(cluster_links(written(node_sets(docs, text, words, dealt_out(clusters))), percent))
     ids = sets.groupBy("digest").agg(F.min("doc_id").alias("node")).join(roots, "node", "left")
     of_set = ids.select("digest", F.coalesce("root", "node").alias("component_id"))
     named = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
