@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.text import folded
+from quoin.functions.text import folded, mapped
+from quoin.session import cut
 
 # Prices (USD per million tokens), presets and labels.
 PRICES = {"tokens_in": 3.0, "tokens_out": 15.0, "tokens_cached": 0.30}
@@ -25,10 +26,6 @@ REASONS = {
 EUR = 0.92
 
 
-def mapped(values: dict[str, str], key: Column) -> Column:
-    return F.create_map(*(F.lit(x) for p in values.items() for x in p))[key]
-
-
 def counted(rows: DataFrame, *by: str, name: str = "n") -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias(name))
 
@@ -65,8 +62,12 @@ def newest(jobs: DataFrame, most: int) -> DataFrame:
 
 
 def dashboard_jobs(jobs: DataFrame, feedback: DataFrame, corrections: DataFrame, most: int = 200) -> DataFrame:
-    rows = newest(jobs, most).join(counted(feedback, "job_id", name="fp"), F.col("id") == F.col("job_id"), "left").drop("job_id")
-    rows = rows.join(counted(corrections.where("NOT located"), "job_id", name="un"), F.col("id") == F.col("job_id"), "left")
+    """The newest jobs with what was rejected and not located. Only the rows of those jobs are
+    counted: their ids, ``most`` at most, are broadcast."""
+    top = newest(jobs, most)
+    ids = F.broadcast(top.select(F.col("id").alias("job_id")))
+    rows = top.join(counted(feedback.join(ids, "job_id", "left_semi"), "job_id", name="fp"), F.col("id") == F.col("job_id"), "left").drop("job_id")
+    rows = rows.join(counted(corrections.where("NOT located").join(ids, "job_id", "left_semi"), "job_id", name="un"), F.col("id") == F.col("job_id"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return rows.select("id", "filename", "status", F.coalesce("corrections_count", F.lit(0)).alias("corrections_count"), zero("fp").alias("false_positives_count"), zero("un").alias("unlocated_count"), F.coalesce("doc_type", F.lit("autre")).alias("doc_type"), "created_at", "actual_cost_usd")
 
@@ -129,18 +130,15 @@ def user_jobs(users: DataFrame, jobs: DataFrame, feedback: DataFrame) -> DataFra
     return users.select("id").join(each, F.col("id") == F.col("user_id"), "left").select("id", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
 
 
-def last_of_key(run: DataFrame) -> DataFrame:
-    """Of each (pair, category, fuzzy text) the last row by page and category, later rows after
-    earlier ones: what a mapping filled in that order is left with."""
+def compared(runs: DataFrame) -> DataFrame:
+    """Keys (pair, category, fuzzy text) of both runs of a pair (``side`` 0 and 1) with the row
+    that stands for each and where it was found: of a run, the last row by page and category,
+    later rows after earlier ones, which a mapping filled in that order is left with. One
+    aggregation finds both."""
     order = F.struct("page_number", "category", "seq")
-    keyed = run.withColumn("_key", folded(F.coalesce("original_text", F.lit(""))))
-    return keyed.groupBy("pair", "category", "_key").agg(F.max_by("id", order).alias("id"))
-
-
-def compared(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
-    """Keys of both runs with the row that stands for each and where it was found."""
-    a, b = last_of_key(run_a).withColumnRenamed("id", "a"), last_of_key(run_b).withColumnRenamed("id", "b")
-    met = a.join(b, ["pair", "category", "_key"], "full_outer")
+    keyed = runs.withColumn("_key", folded(F.coalesce("original_text", F.lit(""))))
+    last = lambda k: F.max_by("id", F.when(F.col("side") == k, order))
+    met = keyed.groupBy("pair", "category", "_key").agg(last(0).alias("a"), last(1).alias("b"))
     side = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "common").when(F.col("a").isNotNull(), "only_a").otherwise("only_b")
     return met.select("pair", "category", side.alias("side"), F.coalesce("a", "b").alias("id"))
 
@@ -158,5 +156,22 @@ def by_category(compare: DataFrame) -> DataFrame:
     return compare.groupBy("pair", "category").agg(side("common"), side("only_a"), side("only_b"))
 
 
+def same_file(runs: DataFrame) -> DataFrame:
+    """For each pair of jobs whether both runs were over files of one name."""
+    name = stem(F.col("filename"))
+    return runs.groupBy("pair").agg((F.count_if(F.col("side") == 0) > 0).alias("a"), (F.count_if(F.col("side") == 1) > 0).alias("b"), (F.min(name) == F.max(name)).alias("same")).where("a AND b").select("pair", F.coalesce("same", F.lit(False)).alias("same_file"))
+
+
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``place``, their number in the whole order, from 1. Ranges of the order are
+    dealt to tasks; only the ranges' sizes meet in one task."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(offsets, "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def stem(filename: Column) -> Column:
     return F.regexp_replace(F.lower(filename), r"\.[^.]+$", "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.text import MARKED, UNMARKED, count_of, cut, has_any, strip
+from quoin.functions.text import MARKED, UNMARKED, cut, has_any, strip
 from quoin.operators import mining as m
 
 # Types, labels, identifiers and word lists of the checkers.
@@ -16,15 +16,17 @@ ITEM_TYPES = ["date", "proper_noun", "title"]
 TYPE_LABELS = {"date": "Date historique", "proper_noun": "Nom propre", "title": "Titre d'œuvre"}
 DESCRIPTIONS = {"date": "Vérification suggérée : date historique", "proper_noun": "Vérification suggérée : orthographe du nom propre", "title": "Vérification suggérée : titre d'œuvre"}
 LETTER = "[a-zA-ZÀ-ÿ]"
-TYPOGRAPHY_RULES = (
-    "GUILLEMETS GUILLEMETS_USAGE GUILLEMETS_SPACE UNPAIRED_BRACKETS APOSTROPHE_TYPOGRAPHIQUE APOSTROPHE_INCORRECTE ESPACE_AVANT_DOUBLE_PONCTUATION FRENCH_WHITESPACE "
-    "NBSP_AVANT_DOUBLE_PONCTUATION ESPACE_INSECABLE POINTS_SUSPENSION TRIPLE_DOTS DOUBLE_PUNCTUATION WHITESPACE_RULE WHITESPACE_BEFORE_PUNCTUATION TIRET_CADRANT TIRET_DEMI_CADRANT POINT PONCTUATION_FINALE"
-).split()
-TYPOGRAPHY_CATEGORIES = "TYPOGRAPHY PUNCTUATION WHITESPACE FORMATTING TYPO CAT_TYPOGRAPHIE PONCTUATION_TYPOGRAPHIQUE".split()
-TYPOGRAPHY_WORDS = "GUILLEMET APOSTROPHE ESPACE NBSP TIRET PONCTUATION QUOTE WHITESPACE SUSPENSION".split()
-SKIPPED_RULES = "UPPERCASE_SENTENCE_START SENTENCE_WHITESPACE MORFOLOGIK_RULE_FR FR_SPELLING_RULE".split()
+TYPOGRAPHY_RULES = [
+    "GUILLEMETS", "GUILLEMETS_USAGE", "GUILLEMETS_SPACE", "UNPAIRED_BRACKETS", "APOSTROPHE_TYPOGRAPHIQUE", "APOSTROPHE_INCORRECTE",
+    "ESPACE_AVANT_DOUBLE_PONCTUATION", "FRENCH_WHITESPACE", "NBSP_AVANT_DOUBLE_PONCTUATION", "ESPACE_INSECABLE", "POINTS_SUSPENSION", "TRIPLE_DOTS",
+    "DOUBLE_PUNCTUATION", "WHITESPACE_RULE", "WHITESPACE_BEFORE_PUNCTUATION", "TIRET_CADRANT", "TIRET_DEMI_CADRANT", "POINT",
+    "PONCTUATION_FINALE",
+]
+TYPOGRAPHY_CATEGORIES = ["TYPOGRAPHY", "PUNCTUATION", "WHITESPACE", "FORMATTING", "TYPO", "CAT_TYPOGRAPHIE", "PONCTUATION_TYPOGRAPHIQUE"]
+TYPOGRAPHY_WORDS = ["GUILLEMET", "APOSTROPHE", "ESPACE", "NBSP", "TIRET", "PONCTUATION", "QUOTE", "WHITESPACE", "SUSPENSION"]
+SKIPPED_RULES = ["UPPERCASE_SENTENCE_START", "SENTENCE_WHITESPACE", "MORFOLOGIK_RULE_FR", "FR_SPELLING_RULE"]
 SKIPPED_MESSAGES = ["is a foreign word", "mot étranger"]
-SENTENCE_END_RULES = "POINT PONCTUATION_FINALE UNPAIRED_BRACKETS UPPERCASE_SENTENCE_START".split()
+SENTENCE_END_RULES = ["POINT", "PONCTUATION_FINALE", "UNPAIRED_BRACKETS", "UPPERCASE_SENTENCE_START"]
 VERB_MARKS = [" est ", " sont ", " était ", " avait ", " ont ", " a ", " il ", " elle "]
 PUNCTUATION = ".-–—_·•… "
 MATCH_SHARE = 0.55
@@ -207,7 +209,3 @@ def verdicts(items: DataFrame) -> DataFrame:
     corrected = F.when(is_date, F.when(~none, correct_date(text, "answer"))).when(is_title, correct_title(text, F.col("results"))).otherwise(correct_name(text, F.col("results")))
     said = F.when(is_date & none, "Date non vérifiable en ligne").when(is_date, "Date non confirmée — à vérifier").when(is_title, "Titre d'œuvre introuvable — à vérifier").otherwise("Orthographe du nom propre à vérifier")
     return items.where(~silent).withColumns({"corrected_text": corrected, "description": said, "category": F.when(is_date | is_title, "H").otherwise("A"), "confidence": F.when(is_date & none, "low").otherwise("medium")})
-
-
-def occurrences(text: Column, part: Column) -> Column:
-    return count_of(text, part)

@@ -10,6 +10,8 @@ TRANSIENT = ["pending", "extracting", "processing", "annotating"]
 STEP_SECONDS = {"extract": 3, "analyse": 120, "factcheck": 30, "annotate": 8}
 STEP_FROM = [5, 15, 75, 88]
 SECONDS_50, EXTRA = 50, 25
+#: Requests that a user may make in a minute.
+LIMITS = {"upload": 10, "confirm": 20}
 
 
 def latest(states: DataFrame) -> DataFrame:
@@ -78,10 +80,17 @@ def timeout(pages: Column, pass1: Column, pass2: Column) -> Column:
     return F.greatest(F.lit(180), first + F.when(pass2, 90).otherwise(0) + 120)
 
 
-def per_minute(events: DataFrame, most: int) -> DataFrame:
-    """Requests of each user and minute beyond the limit."""
+def per_minute(events: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """Requests of each user and minute, and how many of them each limit refuses."""
     rows = events.groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
-    return rows.where(F.col("n") > most).select("user_id", F.col("w.start").alias("minute"), "n")
+    return rows.select("user_id", F.col("w.start").alias("minute"), "n", *(F.greatest(F.lit(0), F.col("n") - most).alias(f"refused_{name}") for name, most in limits.items()))
+
+
+def running(states: DataFrame) -> DataFrame:
+    """For each event of a job how many it had by then, of how many, and seconds since the first."""
+    job = Window.partitionBy("job_id")
+    upto = job.orderBy("ts", "event_id")
+    return states.select("job_id", "event_id", F.row_number().over(upto).alias("done"), F.count("*").over(job).alias("total"), (F.unix_timestamp("ts") - F.unix_timestamp(F.min("ts").over(job))).alias("elapsed"))
 
 
 def toggled(events: DataFrame) -> DataFrame:

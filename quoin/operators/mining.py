@@ -21,10 +21,11 @@ PROPER_NOUN = rf"(?U)\b({CAPITALISED}(?:\s+(?:de\s+|d')?{CAPITALISED}){{1,3}})\b
 TITLE_QUOTED = r"«\s*([^»]{8,100})\s*»"
 TITLE_MARKED = r"_([^_]{8,80})_"
 PLACEHOLDER = r"(?iuU)\b(?:XX+[-–]?XX*|X{2,}|Xxxxx+|ILLU\s*\w*|TBD|TODO|À\s+COMPLÉTER|N\.?A\.?)\b"
-COMMON_WORDS = (
-    "Le La Les Un Une Des Du De En Au Aux Par Sur Sous Dans Et Ou Mais Car Donc Or Que Qui Dont Où Si Ne Ni Cela Cette Ces Son Sa Ses Mon Ma Mes Ton Ta Tes "
-    "Notre Votre Leur Leurs Avec Pour Vers Tout Plus Bien Très Aussi Ainsi Lors Puis Après Avant Depuis Pendant Entre Parmi Selon Voici Voilà Comme Même Chez"
-).split()
+COMMON_WORDS = [
+    "Le", "La", "Les", "Un", "Une", "Des", "Du", "De", "En", "Au", "Aux", "Par", "Sur", "Sous", "Dans", "Et", "Ou", "Mais", "Car", "Donc", "Or", "Que", "Qui", "Dont", "Où", "Si", "Ne", "Ni",
+    "Cela", "Cette", "Ces", "Son", "Sa", "Ses", "Mon", "Ma", "Mes", "Ton", "Ta", "Tes", "Notre", "Votre", "Leur", "Leurs", "Avec", "Pour", "Vers", "Tout", "Plus", "Bien", "Très",
+    "Aussi", "Ainsi", "Lors", "Puis", "Après", "Avant", "Depuis", "Pendant", "Entre", "Parmi", "Selon", "Voici", "Voilà", "Comme", "Même", "Chez",
+]
 LOWER = "a-zàâäéèêëîïôùûüçœæ"
 MOST_NAMES, MOST_DATES, MOST_TITLES = 80, 30, 30
 
@@ -66,11 +67,10 @@ def full_text(pages: DataFrame) -> DataFrame:
 def dates(pages: DataFrame) -> DataFrame:
     """Every date: which pattern (1 month, 2 numeric, 3 year alone), its number there, text and
     context (60 characters around, 80 for years)."""
-    found = [
-        pages.select("doc_id", "page_num", "text", F.lit(k).alias("kind"), F.posexplode(hits("text", pattern)).alias("nth", "hit"))
-        for k, pattern in ((1, DATE_WITH_MONTH), (2, DATE_NUMERIC), (3, YEAR_ALONE))
-    ]
-    every = found[0].union(found[1]).union(found[2])
+    kinds = ((1, DATE_WITH_MONTH), (2, DATE_NUMERIC), (3, YEAR_ALONE))
+    found = F.array(*(F.struct(F.lit(k).alias("kind"), hits("text", pattern).alias("hits")) for k, pattern in kinds))
+    rows = pages.select("doc_id", "page_num", "text", F.explode(F.filter(found, lambda f: F.size(f["hits"]) > 0)).alias("f"))
+    every = rows.select("doc_id", "page_num", "text", "f.kind", F.posexplode("f.hits").alias("nth", "hit"))
     around = F.when(F.col("kind") == 3, 80).otherwise(60)
     start, end = F.col("hit.start"), F.col("hit.start") + F.length("hit.hit")
     first = F.greatest(F.lit(0), start - around)
@@ -139,13 +139,16 @@ def variants(pages: DataFrame) -> DataFrame:
 
 def attested(pages: DataFrame, least: int = 2) -> DataFrame:
     """Forms found at least twice in their document: these are never sent to be checked."""
-    forms = variants(pages).select("doc_id", "form").distinct()
-    counted = forms.join(full_text(pages), "doc_id").withColumn("n", count_of(F.col("full_text"), F.col("form")))
-    return counted.where(F.col("n") >= least).select("doc_id", "form", "n")
+    forms = variants(pages).groupBy("doc_id").agg(F.collect_set("form").alias("forms"))  # those of MOST_NAMES names
+    count = F.transform("forms", lambda form: F.struct(form.alias("form"), count_of(F.col("full_text"), form).alias("n")))
+    counted = forms.join(full_text(pages), "doc_id").select("doc_id", F.explode(F.filter(count, lambda c: c["n"] >= least)).alias("c"))
+    return counted.select("doc_id", "c.form", "c.n")
 
 
 def first_page(pages: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """For each wanted (doc_id, text) the first page that contains it, or 0."""
-    met = wanted.join(pages.select("doc_id", "page_num", F.col("text").alias("_page")), "doc_id").where(F.contains("_page", text))
-    least = met.groupBy("doc_id", text).agg(F.min("page_num").alias("page_num"))
+    asked = wanted.groupBy("doc_id").agg(F.collect_set(text).alias("_asked"))  # MOST_NAMES at most
+    met = pages.select("doc_id", "page_num", F.col("text").alias("_page")).join(asked, "doc_id")
+    found = met.select("doc_id", "page_num", F.explode(F.filter("_asked", lambda part: F.contains(F.col("_page"), part))).alias(text))
+    least = found.groupBy("doc_id", text).agg(F.min("page_num").alias("page_num"))
     return wanted.join(least, ["doc_id", text], "left").withColumn("page_num", F.coalesce("page_num", F.lit(0)))

@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quoin.functions.text import strip
+from quoin.functions.text import mapped, strip
 
 # Labels, pictograms and replacements.
 CATEGORY_UPPER = {"A": "ORTHOGRAPHE", "B": "GRAMMAIRE", "C": "TYPOGRAPHIE", "D": "SYNTAXE & STYLE", "E": "SÉMANTIQUE", "F": "UNIFORMISATION", "G": "RENVOIS", "H": "VÉRIFICATION DES FAITS"}
 PICTOS = {"Certain": "✅", "Probable": "🔶", "À vérifier": "⚠️"}
-PLAIN_FROM = "’‘“”—–·  éèêëàâôûùîïçÉÈÊÀ"
 REPLACEMENTS = [("…", "..."), ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("«", "<<"), ("»", ">>"), ("—", "--"), ("–", "-"), ("·", "."), (" ", " "), (" ", " "), ("æ", "ae"), ("œ", "oe"), ("Æ", "AE"), ("Œ", "OE")]
 ACCENTS = ("éèêëàâôûùîïçÉÈÊÀ", "eeeeaaouuiicEEEA")
 PRESET_LABELS = {"complete": "correction-complete", "quick": "correction-rapide", "coherence": "coherence-globale", "facts": "verification-faits"}
 
 
-def mapped(values: dict[str, str], key: Column) -> Column:
-    return F.create_map(*(F.lit(x) for p in values.items() for x in p))[key]
-
-
 def quoted(c: Column, none: str) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("« "), c, F.lit(" »"))).otherwise(none)
 

@@ -35,29 +35,29 @@ query("a19_report_sections", ["corrections"], lambda c: a.counted(c, "job_id", "
 
 # ── joins ──────────────────────────────────────────────────────────────────
 
-query("j01_rejected_flag", ["corrections", "feedback"], lambda c, f: c.join(f.select(F.col("correction_id").alias("id"), F.lit(True).alias("hit")).distinct(), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("is_false_positive")), "SELECT id, id IN (SELECT correction_id FROM {feedback}) AS is_false_positive FROM {corrections}")
+query("j01_rejected_flag", ["corrections", "feedback"], lambda c, f: c.join(f.select(F.col("correction_id").alias("id"), F.lit(True).alias("hit")).distinct(), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("is_false_positive")), "SELECT k.id, f.correction_id IS NOT NULL AS is_false_positive FROM {corrections} k LEFT JOIN (SELECT DISTINCT correction_id FROM {feedback}) f ON f.correction_id = k.id")
 query("j02_fp_counts", ["jobs", "feedback"], lambda j, f: j.join(a.counted(f, "job_id"), F.col("id") == F.col("job_id"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n")), "SELECT j.id, count(f.id) AS n FROM {jobs} j LEFT JOIN {feedback} f ON f.job_id = j.id GROUP BY j.id")
 query("j03_unlocated_counts", ["jobs", "corrections"], lambda j, c: j.join(a.counted(c.where("NOT located"), "job_id"), F.col("id") == F.col("job_id"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n")), "SELECT j.id, count(c.id) AS n FROM {jobs} j LEFT JOIN {corrections} c ON c.job_id = j.id AND NOT located GROUP BY j.id")
 query("j05_user_job_count", ["users", "jobs"], lambda u, j: u.join(a.counted(j, "user_id"), F.col("id") == F.col("user_id"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n")), "SELECT u.id, (SELECT count(*) FROM {jobs} j WHERE j.user_id = u.id) AS n FROM {users} u")
 query("j06_user_rejections", ["users", "jobs", "feedback"], a.user_jobs, "SELECT u.id, count(DISTINCT j.id) AS jobs, count(f.id) AS rejected FROM {users} u LEFT JOIN {jobs} j ON j.user_id = u.id LEFT JOIN {feedback} f ON f.job_id = j.id GROUP BY u.id")
 query("j13_ownership", ["users", "jobs"], lambda u, j: j.select(F.col("id").alias("job_id"), "user_id").join(u.select(F.col("id").alias("user_id"), "role"), "user_id").select("job_id", "role"), "SELECT j.id AS job_id, role FROM {jobs} j JOIN {users} u ON u.id = j.user_id")
-query("j14_feedback_reasons", ["feedback"], lambda f: f.withColumn("reason", F.explode(F.array_distinct(F.array(F.coalesce("reason_code", F.lit("none")), F.lit("reported"))))).select("id", "reason"), "SELECT DISTINCT id, unnest([coalesce(reason_code, 'none'), 'reported']) AS reason FROM {feedback}")
+query("j14_feedback_reasons", ["corrections", "feedback"], lambda k, f: k.select(F.col("id").alias("correction_id")).join(f.select("correction_id", F.col("id").alias("feedback_id"), F.coalesce("reason_code", F.lit("none")).alias("reason")), "correction_id").groupBy("correction_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons")), "SELECT k.id AS correction_id, count(*) AS n, string_agg(DISTINCT coalesce(reason_code, 'none'), ',' ORDER BY coalesce(reason_code, 'none')) AS reasons FROM {corrections} k JOIN {feedback} f ON f.correction_id = k.id GROUP BY k.id")
 
 # ── comparison of runs: jobs 2k and 2k + 1 of a pair ───────────────────────
 
-number = lambda: F.substring("job_id", 4, 20).cast("long")
-side = lambda c, k: c.where(number() % 2 == k).withColumn("pair", F.floor(number() / 2))
+number = lambda c: F.substring(c, 4, 20).cast("long")
+paired = lambda rows, c: rows.withColumns({"pair": F.floor(number(c) / 2), "side": number(c) % 2})
 RUN = f"""run AS (SELECT *, substr(job_id, 4)::BIGINT // 2 AS pair, substr(job_id, 4)::BIGINT % 2 AS side_no, {FOLD} AS k FROM {{corrections}}),
   won AS (SELECT pair, side_no, category, k, arg_max(id, (page_number, category, seq)) AS id FROM run GROUP BY ALL),
   cmp AS (SELECT coalesce(x.pair, y.pair) AS pair, coalesce(x.category, y.category) AS category, CASE WHEN x.id IS NOT NULL AND y.id IS NOT NULL THEN 'common' WHEN x.id IS NOT NULL THEN 'only_a' ELSE 'only_b' END AS side, coalesce(x.id, y.id) AS id
     FROM (SELECT * FROM won WHERE side_no = 0) x FULL JOIN (SELECT * FROM won WHERE side_no = 1) y ON x.pair = y.pair AND x.category = y.category AND x.k = y.k)"""
-compare = lambda c: a.compared(side(c, 0), side(c, 1))
+compare = lambda c: a.compared(paired(c, "job_id"))
 query("c01_compare", ["corrections"], compare, f"WITH {RUN} SELECT * FROM cmp")
 query("j04_compare_counts", ["corrections"], lambda c: a.counted(compare(c), "pair", "side"), f"WITH {RUN} SELECT pair, side, count(*) AS n FROM cmp GROUP BY ALL")
 STAB = f"{RUN}, st AS (SELECT pair, count(*) AS total, count(*) FILTER (side = 'common') AS common, round(count(*) FILTER (side = 'common') / count(*), 3) AS stability FROM cmp GROUP BY pair)"
 query("c02_stability", ["corrections"], lambda c: a.stability(compare(c)).select("pair", "total", "common", "stability"), f"WITH {STAB} SELECT * FROM st")
 query("c03_by_category", ["corrections"], lambda c: a.by_category(compare(c)), f"WITH {RUN} SELECT pair, category, count(*) FILTER (side = 'common') AS common, count(*) FILTER (side = 'only_a') AS only_a, count(*) FILTER (side = 'only_b') AS only_b FROM cmp GROUP BY ALL")
-query("c04_same_file", ["jobs"], lambda j: j.alias("x").join(j.alias("y"), (a.stem(F.col("x.filename")) == a.stem(F.col("y.filename"))) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), r"SELECT x.id AS a, y.id AS b FROM {jobs} x JOIN {jobs} y ON x.id < y.id AND regexp_replace(lower(x.filename), '\.[^.]+$', '') = regexp_replace(lower(y.filename), '\.[^.]+$', '')")
+query("c04_same_file", ["jobs"], lambda j: a.same_file(paired(j, "id")), r"WITH s AS (SELECT substr(id, 4)::BIGINT // 2 AS pair, substr(id, 4)::BIGINT % 2 AS side, regexp_replace(lower(filename), '\.[^.]+$', '') AS stem FROM {jobs}) SELECT x.pair, x.stem = y.stem AS same_file FROM s x JOIN s y ON x.pair = y.pair AND x.side = 0 AND y.side = 1")
 query("c05_verdict", ["corrections"], lambda c: a.stability(compare(c)).select("pair", "verdict", "colour"), f"WITH {STAB} SELECT pair, CASE WHEN round(stability * 100) >= 85 THEN 'Très bonne stabilité' WHEN round(stability * 100) >= 65 THEN 'Stabilité modérée' ELSE 'Instabilité détectée' END AS verdict, CASE WHEN round(stability * 100) >= 80 THEN 'emerald' WHEN round(stability * 100) >= 60 THEN 'amber' ELSE 'red' END AS colour FROM st")
 PRESETS = {k: list(v) for k, v in a.PRESET_CATEGORIES.items()}
 cats = lambda: F.create_map(*(x for k, v in PRESETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[F.col("preset")]
@@ -72,11 +72,11 @@ query(
 
 # ── listings ───────────────────────────────────────────────────────────────
 
-query("o01_corrections_listing", ["corrections"], lambda c: c.where(F.col("category") == F.upper(F.lit("c"))).select("job_id", "id", (F.col("page_number") + 1).alias("page"), F.row_number().over(Window.partitionBy("job_id").orderBy("page_number", "category", "seq")).alias("place")), "SELECT job_id, id, page_number + 1 AS page, row_number() OVER (PARTITION BY job_id ORDER BY page_number, category, seq) AS place FROM {corrections} WHERE category = 'C'")
+query("o01_corrections_listing", ["corrections"], lambda c: c.select("job_id", "id", "category", (F.col("page_number") + 1).alias("page"), F.row_number().over(Window.partitionBy("job_id").orderBy("page_number", "category", "seq")).alias("place")), "SELECT job_id, id, category, page_number + 1 AS page, row_number() OVER (PARTITION BY job_id ORDER BY page_number, category, seq) AS place FROM {corrections}")
 query("o02_job_listing", ["jobs"], lambda j: a.newest(j, 50).select("id", "created_at"), "SELECT id, created_at FROM {jobs} ORDER BY created_at DESC, id LIMIT 50")
 query("o03_user_history", ["jobs"], lambda j: j.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), "id"))).where("place <= 100").select("user_id", "id", "place"), "SELECT user_id, id, place FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS place FROM {jobs}) WHERE place <= 100")
-query("o04_user_listing", ["users"], lambda u: u.select("id", F.lower(F.trim("email")).alias("email"), F.row_number().over(Window.orderBy("last_reset_at", "id")).alias("place")), "SELECT id, lower(trim(email)) AS email, row_number() OVER (ORDER BY last_reset_at, id) AS place FROM {users}")
-query("o05_result_view", ["corrections", "feedback"], lambda c, f: c.where("category IN ('A', 'B')").join(f, c["id"] == f["correction_id"], "left_anti").select("id"), "SELECT id FROM {corrections} WHERE category IN ('A', 'B') AND id NOT IN (SELECT correction_id FROM {feedback})")
+query("o04_user_listing", ["users"], lambda u: a.numbered(u.select("id", F.lower(F.trim("email")).alias("email"), "last_reset_at"), "last_reset_at", "id").select("id", "email", "place"), "SELECT id, lower(trim(email)) AS email, row_number() OVER (ORDER BY last_reset_at, id) AS place FROM {users}")
+query("o05_result_view", ["corrections", "feedback"], lambda c, f: c.join(f, c["id"] == f["correction_id"], "left_anti").select("id", "category"), "SELECT k.id, k.category FROM {corrections} k ANTI JOIN {feedback} f ON f.correction_id = k.id")
 text = lambda needle: F.exists(F.array(*(F.lower(F.coalesce(x, F.lit(""))) for x in ("original_text", "corrected_text", "description", "explanation"))), lambda s: F.contains(s, F.lit(needle)))
 query("o06_search", ["corrections"], lambda c: c.where(text("lace")).select("id"), "SELECT id FROM {corrections} WHERE contains(lower(coalesce(original_text, '')), 'lace') OR contains(lower(coalesce(corrected_text, '')), 'lace') OR contains(lower(description), 'lace') OR contains(lower(explanation), 'lace')")
 rank = lambda: F.when(F.col("confidence") == "Certain", 0).when(F.col("confidence") == "Probable", 1).when(F.col("confidence") == "À vérifier", 2).otherwise(1)

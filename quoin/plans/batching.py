@@ -33,8 +33,9 @@ def condensed_sql(most: int, source: str = "nb") -> str:
   condensed AS (SELECT doc_id, string_agg(head || CASE WHEN whole <= {most} THEN text WHEN n > budget AND NOT regexp_matches(substr(text, budget + 1, 1), '{BLANK}') AND space > 200 THEN substr(kept, 1, space) ELSE kept END, '' ORDER BY page_num) AS text FROM cx GROUP BY doc_id)"""
 
 
-query("w03_condensed", ["documents"], lambda d: b.condensed(m.pages_of(d), 4000), f"WITH {TEXT}, {condensed_sql(4000)} SELECT * FROM condensed")
-CH = (9000, 8000, 1000, 6)
+for name, most in (("w03_condensed", 160_000), ("w03_condensed_proof", 80_000)):
+    query(name, ["documents"], lambda d, most=most: b.condensed(m.pages_of(d), most), f"WITH {TEXT}, {condensed_sql(most)} SELECT * FROM condensed")
+CH = (90_000, 80_000, 10_000, 6)
 query(
     "w04_chunks",
     ["documents"],
@@ -58,6 +59,6 @@ query(
 )
 query("w07_fact_groups", ["raw"], lambda r: b.groups_of(r, "job_id", ["seq"], 4).select("id", "grp"), "SELECT id, ((row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1) // 4)::INT AS grp FROM {raw}")
 query("w08_fixed_chunks", ["documents"], lambda d: b.fixed_chunks(d.select("doc_id", "text"), 15_000), "SELECT doc_id, s::INT AS start, substr(text, s::INT + 1, 15000) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 15000)) AS s FROM {documents} WHERE length(text) > 0)")
-query("w09_metadata_sample", ["documents"], lambda d: b.sample(m.pages_of(d), 15, 2_500), f"WITH {TEXT}, n2 AS (SELECT * REPLACE (count(*) OVER (PARTITION BY doc_id) AS n_text) FROM nb WHERE nth < 15), {condensed_sql(2500, 'n2')} SELECT * FROM condensed")
+query("w09_metadata_sample", ["documents"], lambda d: b.sample(m.pages_of(d), 15, 25_000), f"WITH {TEXT}, n2 AS (SELECT * REPLACE (count(*) OVER (PARTITION BY doc_id) AS n_text) FROM nb WHERE nth < 15), {condensed_sql(25_000, 'n2')} SELECT * FROM condensed")
 query("w10_names_message", ["manuscript"], lambda p: b.names_message(m.variants(p)), f"WITH {FORMS}, g AS (SELECT doc_id, name, list_sort(list_distinct(list(form))) AS forms, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS nth FROM form_ GROUP BY doc_id, name) SELECT doc_id, string_agg('  • ' || name || CASE WHEN len(forms) > 1 THEN ' — variantes : ' || array_to_string(forms, ', ') || ' → à signaler en F' ELSE '' END, chr(10) ORDER BY nth) AS message FROM g WHERE nth <= 30 GROUP BY doc_id")
 query("w11_already_found", ["corrections"], b.already_found, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM {corrections} WHERE category IN ('A', 'B', 'C')) SELECT job_id, string_agg('  p.' || (page_number + 1) || ' [' || category || '] « ' || substr(original_text, 1, 60) || ' »', chr(10) ORDER BY n) AS context FROM r WHERE n <= 100 GROUP BY job_id")

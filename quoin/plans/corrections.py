@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.text import MARKED, SUPERSCRIPTS, UNMARKED, key
 from quoin.operators import corrections as c
 from quoin.plans.mining import strip
-from quoin.plans.registry import query
+from quoin.plans.registry import QUERIES, SQL, query
+from quoin.session import shared_folder
+from quoin.sources.bridge import frame
+from quoin.sources.files import append_rows
 
 
 def listed(values) -> str:
@@ -29,7 +35,7 @@ ONE = f"CASE WHEN len({SPLIT('original_text')}) > 1 AND len({SPLIT('original_tex
 query("p08_only_change", ["corrections"], lambda r: r.withColumn("p", c.only_change("original_text", "corrected_text")).where("p IS NOT NULL").select("id", F.col("p.a").alias("original"), F.col("p.b").alias("corrected")), f"SELECT id, p[1] AS original, p[2] AS corrected FROM (SELECT id, {ONE} AS p FROM {{corrections}}) WHERE p IS NOT NULL")
 query("p09_confidence", ["raw"], lambda r: r.select("id", F.when(F.col("confidence").isin(c.CONFIDENCES), F.col("confidence")).otherwise("Probable").alias("confidence")), f"SELECT id, CASE WHEN confidence IN ({listed(c.CONFIDENCES)}) THEN confidence ELSE 'Probable' END AS confidence FROM {{raw}}")
 SOURCE = "substr(coalesce(nullif(source, ''), '" + c.DEFAULT_SOURCE.replace("'", "''") + "'), 1, 300)"
-query("p10_truncation", ["raw"], lambda r: r.select("id", c.cut("description", 10).alias("description"), c.cut("explanation", 12).alias("explanation"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(c.DEFAULT_SOURCE)).alias("source")), f"SELECT id, substr(coalesce(description, ''), 1, 10) AS description, substr(coalesce(explanation, ''), 1, 12) AS explanation, {SOURCE} AS source FROM {{raw}}")
+query("p10_truncation", ["raw"], lambda r: r.select("id", c.cut("description", 200).alias("description"), c.cut("explanation", 1000).alias("explanation"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(c.DEFAULT_SOURCE)).alias("source")), f"SELECT id, substr(coalesce(description, ''), 1, 200) AS description, substr(coalesce(explanation, ''), 1, 1000) AS explanation, {SOURCE} AS source FROM {{raw}}")
 for name, allowed in (("p_parse_1a", "ABCD"), ("p_parse_all", "ABCDEFGH")):
     query(
         name,
@@ -44,6 +50,18 @@ for name, allowed in (("p_parse_1a", "ABCD"), ("p_parse_all", "ABCDEFGH")):
           CASE WHEN confidence IN ({listed(c.CONFIDENCES)}) THEN confidence ELSE 'Probable' END AS confidence FROM v""",
     )
 
+
+def inserted(raw: DataFrame) -> DataFrame:
+    """What two passes (A to D, then the rest) insert into one table, read back."""
+    path = f"{shared_folder(raw.sparkSession)}/quoin-corrections-{uuid.uuid4().hex}"
+    for categories in ("ABCD", "EFGH"):
+        append_rows(c.parsed(raw, categories), path)
+    return raw.sparkSession.read.parquet(path)
+
+
+QUERIES["s11_insert_corrections"] = lambda spark, sf_dir: inserted(frame(spark, sf_dir, "raw"))
+SQL["s11_insert_corrections"] = SQL["p_parse_all"]
+
 REPLY = "CASE seq % 4 WHEN 0 THEN '\"texte nu\"' WHEN 1 THEN '{\"x\": 1}' ELSE concat('{\"original\": \"', replace(replace(original_text, '\"', ''), chr(92), ''), '\", \"category\": \"', category, '\"}') END"
 query("p01_type_guard", ["corrections"], lambda k: c.only_objects(k.select("id", F.expr(REPLY).alias("reply")), "reply").select("id", "original", "category"), f"SELECT id, reply->>'$.original' AS original, reply->>'$.category' AS category FROM (SELECT id, {REPLY} AS reply FROM {{corrections}}) WHERE json_type(reply) = 'OBJECT' AND (reply->>'$.original' IS NOT NULL OR reply->>'$.category' IS NOT NULL)")
 FENCED = "CASE seq % 3 WHEN 0 THEN concat('```json', chr(10), '{\"author\": \"', job_id, '\"}', chr(10), '```') WHEN 1 THEN concat('{\"author\": \"', job_id, '\"}') ELSE '{}' END"
@@ -117,7 +135,7 @@ query("d03_overlap", ["corrections"], lambda k: c.undominated(c.exactly_deduplic
 query("d04_repeat_cap", ["corrections"], lambda k: c.deduplicated(k).select("id", "position"), f"WITH RECURSIVE {DEDUPE} SELECT id, position FROM d4")
 query("d05_result_order", ["corrections"], lambda k: c.deduplicated(k).select("job_id", "id", F.row_number().over(c.Window.partitionBy("job_id").orderBy(c.priority("category"), "position", "id")).alias("place")), f"WITH RECURSIVE {DEDUPE} SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY prio, position, id) AS place FROM d4")
 query("d06_contradictions", ["corrections"], lambda k: c.contradictions(k).select("id"), f"WITH t AS (SELECT id, job_id, {KEY} AS o, lower({strip('corrected_text')}) AS r FROM {{corrections}} WHERE corrected_text IS NOT NULL) SELECT DISTINCT a.id FROM t a JOIN t b ON a.job_id = b.job_id AND a.o = b.r AND a.r = b.o AND a.id <> b.id WHERE a.o <> '' AND a.r <> ''")
-query("d07_new_feedback", ["corrections", "feedback"], lambda k, f: k.join(f.where("feedback_type = 'false_positive'"), k["id"] == f["correction_id"], "left_anti").select("id"), "SELECT id FROM {corrections} WHERE id NOT IN (SELECT correction_id FROM {feedback} WHERE feedback_type = 'false_positive')")
+query("d07_new_feedback", ["corrections", "feedback"], lambda k, f: k.join(f.where("feedback_type = 'false_positive'"), k["id"] == f["correction_id"], "left_anti").select("id"), "SELECT k.id FROM {corrections} k ANTI JOIN (SELECT correction_id FROM {feedback} WHERE feedback_type = 'false_positive') f ON f.correction_id = k.id")
 
 ALL = f"{RULES}, clean AS (SELECT * EXCLUDE (g, o, r, e, d, s, stem, ob, rb, ou, ru, fp_rule) FROM ruled WHERE fp_rule IS NULL), {dedupe_sql('clean')}"
 query("a01_live_counts", ["corrections"], lambda k: c.deduplicated(c.filtered(k)).groupBy("job_id", "category").agg(F.count("*").alias("n")), f"WITH RECURSIVE {ALL} SELECT job_id, category, count(*) AS n FROM d4 GROUP BY job_id, category")

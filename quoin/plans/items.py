@@ -56,7 +56,7 @@ query(
     "p13_anomalies",
     ["raw"],
     lambda r: i.anomalies(r, i.hint_items(i.hints_clean(r))),
-    f"""WITH {ITEMS}, t AS (SELECT *, {strip("coalesce(original, '')")} AS o, nullif({strip("coalesce(corrected, '')")}, '') AS c FROM {{raw}})
+    f"""WITH {ITEMS}, t AS MATERIALIZED (SELECT *, {strip("coalesce(original, '')")} AS o, nullif({strip("coalesce(corrected, '')")}, '') AS c FROM {{raw}})
       SELECT t.id, coalesce(t.page_hint, item.page_num, 0) AS page_num, 'H' AS category, o AS original_text, c AS corrected_text, CASE item.item_type WHEN 'date' THEN 'Vérification suggérée : date historique' WHEN 'title' THEN 'Vérification suggérée : titre d''œuvre' ELSE 'Vérification suggérée : orthographe du nom propre' END AS description,
         substr(coalesce(explanation, ''), 1, 1000) AS explanation, substr(coalesce(source, ''), 1, 300) AS source, 'À vérifier' AS confidence
       FROM t LEFT JOIN item ON item.job_id = t.job_id AND item.original_text = o WHERE o <> '' AND coalesce(lower(o) <> lower(c), true)""",
@@ -69,8 +69,7 @@ query("i10_decorative", ["matches"], lambda x: x.select("id", i.decorative(F.col
 query("i11_title_context", ["matches"], lambda x: x.select("id", i.title_like(F.col("context")).alias("title")), f"SELECT id, {TITLE} AS title FROM {{matches}}")
 query("i12_typographic", ["matches"], lambda x: x.select("id", i.typographic(F.col("rule_id"), F.col("category_id")).alias("typographic")), f"SELECT id, {TYPO} AS typographic FROM {{matches}}")
 query("i13_match_chain", ["matches"], lambda x: i.typography_matches(x).select("id"), f"SELECT id FROM {{matches}} WHERE rule_id NOT IN ({listed(i.SKIPPED_RULES)}) AND NOT {ANY('message', i.SKIPPED_MESSAGES)} AND {TYPO} AND {strip('original')} <> '' AND NOT {DECOR} AND NOT (rule_id IN ({listed(i.SENTENCE_END_RULES)}) AND {TITLE})")
-for key, names in (("i14_junk_metadata", "metadata"),):
-    query(key, ["customer"], lambda k: k.select("c_custkey", F.when(F.lower("c_mktsegment").isin("building", "unknown", "untitled") | (F.length("c_mktsegment") <= 2), "").otherwise(F.col("c_mktsegment")).alias("author")), "SELECT c_custkey, CASE WHEN lower(c_mktsegment) IN ('building', 'unknown', 'untitled') OR length(c_mktsegment) <= 2 THEN '' ELSE c_mktsegment END AS author FROM {customer}")
+query("i14_junk_metadata", ["customer"], lambda k: k.select("c_custkey", F.when(F.lower("c_mktsegment").isin("building", "unknown", "untitled") | (F.length("c_mktsegment") <= 2), "").otherwise(F.col("c_mktsegment")).alias("author")), "SELECT c_custkey, CASE WHEN lower(c_mktsegment) IN ('building', 'unknown', 'untitled') OR length(c_mktsegment) <= 2 THEN '' ELSE c_mktsegment END AS author FROM {customer}")
 
 # ── search checker ─────────────────────────────────────────────────────────
 

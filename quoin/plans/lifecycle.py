@@ -27,12 +27,15 @@ STEPS = """st AS (SELECT id, unnest([0, 1, 2, 3]) AS step_no, unnest(['extract',
   rem AS (SELECT *, sum(seconds) OVER (PARTITION BY id ORDER BY step_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_ FROM sec)"""
 LEFT = lambda x: f"CASE WHEN {x} < 5 THEN 'presque terminé…' WHEN {x} < 60 THEN '~' || floor({x})::INT || 's' ELSE '~' || floor({x} / 60)::INT || ' min' END"
 query("l06_time_estimate", ["jobs"], c.remaining, f"WITH {STEPS} SELECT id, step_no, step, seconds, round(left_, 6) AS remaining, {LEFT('left_')} AS label FROM rem")
-query("l07_duration_format", ["jobs"], lambda j: j.select("id", c.duration(F.col("actual_cost_usd") * 20).alias("label")), f"SELECT id, {LEFT('(actual_cost_usd * 20)')} AS label FROM {{jobs}}")
-PROGRESS = "(event_id % 101)"
-query("l08_progress_step", ["states"], lambda s: s.select("event_id", c.active_step(F.col("event_id") % 101).alias("step"), F.round(c.extrapolated(F.col("event_id") % 101, F.abs("value")), 6).alias("remaining")), f"SELECT event_id, CASE WHEN {PROGRESS} >= 88 THEN 3 WHEN {PROGRESS} >= 75 THEN 2 WHEN {PROGRESS} >= 15 THEN 1 ELSE 0 END AS step, CASE WHEN {PROGRESS} > 5 AND abs(value) > 5 THEN round((100 - {PROGRESS}) / ({PROGRESS} / abs(value)), 6) END AS remaining FROM {{states}}")
-query("l09_progress_mapping", ["states"], lambda s: s.select("event_id", c.pass_progress(F.col("event_id") % 13, F.col("event_id") % 12).alias("pass_pct"), c.fact_progress(F.col("event_id") % 7, F.lit(7)).alias("fact_pct")), "SELECT event_id, 12 + floor(least((event_id % 13) / greatest(event_id % 12, 1)::DOUBLE, 1.0) * 0.65::DOUBLE * 66)::INT AS pass_pct, 78 + floor((event_id % 7) / 7::DOUBLE * 10)::INT AS fact_pct FROM {states}")
+RUN = """run_ AS (SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY job_id) AS total,
+  epoch(date_trunc('second', ts))::BIGINT - epoch(date_trunc('second', min(ts) OVER (PARTITION BY job_id)))::BIGINT AS elapsed FROM {states})"""
+query("l07_duration_format", ["states"], lambda s: c.running(s).select("event_id", c.duration(F.col("elapsed")).alias("label")), f"WITH {RUN} SELECT event_id, {LEFT('elapsed')} AS label FROM run_")
+progress = lambda: F.floor(F.col("done") * 100.0 / F.col("total"))
+PROGRESS = "floor(done * 100.0::DOUBLE / total)"
+query("l08_progress_step", ["states"], lambda s: c.running(s).select("event_id", c.active_step(progress()).alias("step"), F.round(c.extrapolated(progress(), F.col("elapsed")), 3).alias("remaining")), f"WITH {RUN} SELECT event_id, CASE WHEN {PROGRESS} >= 88 THEN 3 WHEN {PROGRESS} >= 75 THEN 2 WHEN {PROGRESS} >= 15 THEN 1 ELSE 0 END AS step, CASE WHEN {PROGRESS} > 5 AND elapsed > 5 THEN round((100 - {PROGRESS}) / ({PROGRESS} / elapsed), 3) END AS remaining FROM run_")
+query("l09_progress_mapping", ["states"], lambda s: c.running(s).select("event_id", c.pass_progress(F.col("done"), F.col("total")).alias("pass_pct"), c.fact_progress(F.col("done"), F.col("total")).alias("fact_pct")), f"WITH {RUN} SELECT event_id, 12 + floor(least(done / total::DOUBLE, 1.0) * 0.65::DOUBLE * 66)::INT AS pass_pct, 78 + floor(done / total::DOUBLE * 10)::INT AS fact_pct FROM run_")
 query("l10_timeout", ["jobs"], lambda j: j.select("id", c.timeout(F.col("pages_count"), F.col("preset").isin("complete", "quick"), F.col("preset").isin("complete", "coherence")).alias("seconds")), "SELECT id, greatest(180, CASE WHEN preset IN ('complete', 'quick') THEN ceil(ceil(pages_count / CASE WHEN pages_count <= 30 THEN 3 WHEN pages_count <= 100 THEN 4 ELSE 5 END) / CASE WHEN pages_count > 80 THEN 2 ELSE 4 END) * 40 + 60 + CASE WHEN pages_count >= 8 THEN 60 ELSE 0 END ELSE 0 END + CASE WHEN preset IN ('complete', 'coherence') THEN 90 ELSE 0 END + 120)::BIGINT AS seconds FROM {jobs}")
-query("l11_rate_limit", ["events"], lambda e: c.per_minute(e, 0), "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM {events} GROUP BY ALL HAVING count(*) > 0")
+query("l11_rate_limit", ["events"], c.per_minute, "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, greatest(0, count(*) - 10) AS refused_upload, greatest(0, count(*) - 20) AS refused_confirm FROM {events} GROUP BY user_id, date_trunc('minute', ts)")
 query("l12_toggles", ["events"], c.toggled, "SELECT user_id, event_type, count(*) % 2 = 1 AS on FROM {events} GROUP BY user_id, event_type".replace(" AS on ", ' AS "on" '))
 query("l13_user_validation", ["users"], c.user_problems, "SELECT id, lower(trim(email)) AS email, CASE WHEN NOT contains(email, '@') THEN 'email' WHEN count(*) OVER (PARTITION BY lower(trim(email))) > 1 THEN 'duplicate' WHEN role NOT IN ('user', 'admin') THEN 'role' WHEN monthly_limit_usd < 0 THEN 'limit' END AS problem FROM {users}")
 query("l14_cancel", ["jobs"], lambda j: j.where("status <> 'awaiting_confirmation'").select("id"), "SELECT id FROM {jobs} WHERE status <> 'awaiting_confirmation'")
@@ -76,7 +79,7 @@ query("g08_annotation_stats", ["requests", "manuscript"], lambda q, p: g.annotat
 query("g09_failure_alert", ["requests", "manuscript"], lambda q, p: g.annotation_stats(q, g.located(q, p, 5)).select("category", "alert"), f"WITH {STATS} SELECT category, 1 - annotated / asked > 0.15 AS alert FROM stat")
 split = lambda k: k.withColumn("place", F.row_number().over(Window.partitionBy("job_id", "located").orderBy("page_number", "seq"))).where(F.col("place") <= F.when(F.col("located"), 150).otherwise(100)).select("id", "located")
 query("g10_located_split", ["corrections"], split, "SELECT id, located FROM (SELECT *, row_number() OVER (PARTITION BY job_id, located ORDER BY page_number, seq) AS place FROM {corrections}) WHERE place <= CASE WHEN located THEN 150 ELSE 100 END")
-query("g11_page_overlay", ["corrections", "feedback"], lambda k, f: k.where("located AND page_number = 3").join(f, k["id"] == f["correction_id"], "left_anti").select("id", "x0", "y0"), "SELECT id, x0, y0 FROM {corrections} WHERE located AND page_number = 3 AND id NOT IN (SELECT correction_id FROM {feedback})")
+query("g11_page_overlay", ["corrections", "feedback"], lambda k, f: k.where("located").join(f, k["id"] == f["correction_id"], "left_anti").select("id", "page_number", "x0", "y0"), "SELECT k.id, k.page_number, k.x0, k.y0 FROM {corrections} k ANTI JOIN {feedback} f ON f.correction_id = k.id WHERE k.located")
 query("j12_band_join", ["requests", "manuscript"], lambda q, p: g.matches(q, p).where(F.abs(F.col("found_page") - F.col("page_num")).between(1, 4)).select("request_id", "found_page"), f"WITH {FOUND} SELECT request_id, found_page FROM met WHERE abs(found_page - page_num) BETWEEN 1 AND 4")
 query(
     "s02_font_filter",
@@ -115,11 +118,11 @@ query("r04_metadata_block", ["customer"], lambda k: k.select("c_custkey", r.meta
 query("r05_count_line", ["jobs"], lambda j: j.select("id", r.count_line(F.col("annotated_count")).alias("line")), "SELECT id, annotated_count || ' correction' || CASE WHEN annotated_count > 1 THEN 's' ELSE '' END || ' annotée' || CASE WHEN annotated_count > 1 THEN 's' ELSE '' END AS line FROM {jobs}")
 query("r06_italic_segments", ["raw"], lambda q: q.select("id", F.array_join(r.italics("original"), "|").alias("italics"), F.regexp_replace("original", r"\*[^*]+\*", "|").alias("plain")), r"SELECT id, array_to_string(regexp_extract_all(original, '\*([^*]+)\*', 1), '|') AS italics, regexp_replace(original, '\*[^*]+\*', '|', 'g') AS plain FROM {raw}")
 query("p16_italic_strip", ["raw"], lambda q: q.select("id", r.without_italics("original").alias("original")), r"SELECT id, regexp_replace(original, '\*([^*]+)\*', '\1', 'g') AS original FROM {raw}")
-query("s05_preview_page", ["jobs"], lambda j: j.select("id", r.shown_page(F.col("annotated_count") * 40, F.col("pages_count"), F.col("annotated_count") > 2).alias("page")), "SELECT id, greatest(0, least(annotated_count * 40, pages_count - CASE WHEN annotated_count > 2 THEN 2 ELSE 1 END)) AS page FROM {jobs}")
+query("s05_preview_page", ["corrections", "jobs"], lambda k, j: k.select("job_id", "page_number").distinct().join(j.select(F.col("id").alias("job_id"), "pages_count", "annotated_count"), "job_id").select("job_id", "page_number", r.shown_page(F.col("page_number"), F.col("pages_count"), F.col("annotated_count") > 0).alias("page")), "SELECT job_id, page_number, greatest(0, least(page_number, pages_count - CASE WHEN annotated_count > 0 THEN 2 ELSE 1 END)) AS page FROM (SELECT DISTINCT job_id, page_number FROM {corrections}) JOIN {jobs} ON id = job_id")
 query("s08_csv_lines", ["feedback"], lambda f: files.csv_lines(f.select("id", "category", "reason_code", "comment")), "SELECT concat_ws(',', id, category, coalesce(reason_code, ''), coalesce(comment, '')) AS line FROM {feedback}")
 query("s09_json_lines", ["feedback"], lambda f: f.select(F.to_json(F.struct("id", "category", "original_text")).alias("line")), "SELECT to_json({'id': id, 'category': category, 'original_text': original_text})::VARCHAR AS line FROM {feedback}")
-query("s10_upload_admission", ["jobs"], lambda j: j.select("id", r.admitted(F.col("filename"), F.when(F.col("annotated_count") == 1, "PK").otherwise("%PDF-1.7"), F.col("word_count") * 4000).alias("refused")), "SELECT id, CASE WHEN NOT ends_with(lower(filename), '.pdf') THEN 'extension' WHEN annotated_count = 1 THEN 'magic' WHEN word_count * 4000 > 52428800 THEN 'size' END AS refused FROM {jobs}")
+query("s10_upload_admission", ["pages"], lambda p: p.select("page_id", r.admitted(F.col("url"), F.substring("html", 1, 8), F.octet_length("html")).alias("refused")), "SELECT page_id, CASE WHEN NOT ends_with(lower(url), '.pdf') THEN 'extension' WHEN NOT starts_with(html, '%PDF') THEN 'magic' WHEN octet_length(encode(html)) > 52428800 THEN 'size' END AS refused FROM {pages}")
 query("s12_schema_evolution", ["jobs"], lambda j: files.with_missing_columns(j.where("user_id % 2 = 0").select("id", "status"), j.where("user_id % 2 = 1").select("id", "status", "preset", "annotated_count"), {"preset": "complete", "annotated_count": 0}), "SELECT id, status, 'complete' AS preset, 0 AS annotated_count FROM {jobs} WHERE user_id % 2 = 0 UNION ALL SELECT id, status, preset, annotated_count FROM {jobs} WHERE user_id % 2 = 1")
 query("s13_clipboard", ["corrections"], lambda k: k.select("id", r.clipboard().alias("text")), f"SELECT id, concat_ws({NL}, 'p.' || (page_number + 1) || ' — ' || category || ' → ' || description, nullif(explanation, ''), CASE WHEN coalesce(corrected_text, '') <> '' THEN 'Correction : « ' || original_text || ' » → « ' || corrected_text || ' »' ELSE 'Texte : « ' || original_text || ' »' END) AS text FROM {{corrections}}")
 query("o08_summary_rows", ["corrections"], lambda k: k.select("job_id", "id", r.ascii_safe(F.col("original_text")).alias("shown"), F.row_number().over(Window.partitionBy("job_id").orderBy("category", "page_number", "seq")).alias("place")), f"SELECT job_id, id, {safe('original_text')} AS shown, row_number() OVER (PARTITION BY job_id ORDER BY category, page_number, seq) AS place FROM {{corrections}}")
-query("o09_report_rows", ["corrections"], lambda k: k.select("job_id", "id", F.when(F.length("explanation") > 12, F.concat(F.substring("explanation", 1, 12), F.lit("…"))).otherwise(F.col("explanation")).alias("explanation"), F.row_number().over(Window.partitionBy("job_id", "category").orderBy("page_number", "seq")).alias("place")), "SELECT job_id, id, CASE WHEN length(explanation) > 12 THEN substr(explanation, 1, 12) || '…' ELSE explanation END AS explanation, row_number() OVER (PARTITION BY job_id, category ORDER BY page_number, seq) AS place FROM {corrections}")
+query("o09_report_rows", ["corrections"], lambda k: k.select("job_id", "id", F.when(F.length("explanation") > 200, F.concat(F.substring("explanation", 1, 200), F.lit("…"))).otherwise(F.col("explanation")).alias("explanation"), F.row_number().over(Window.partitionBy("job_id", "category").orderBy("page_number", "seq")).alias("place")), "SELECT job_id, id, CASE WHEN length(explanation) > 200 THEN substr(explanation, 1, 200) || '…' ELSE explanation END AS explanation, row_number() OVER (PARTITION BY job_id, category ORDER BY page_number, seq) AS place FROM {corrections}")

@@ -35,6 +35,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Insert rows into the table of Parquet files at ``path``, beside what is there."""
+    rows.write.mode("append").parquet(path)
+
+
 def with_missing_columns(old: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
     """Rows of an old and a new schema together, columns that the old one lacks filled in."""
     return old.unionByName(new, allowMissingColumns=True).na.fill(defaults)

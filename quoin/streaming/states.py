@@ -21,8 +21,8 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests_per_minute(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Counts of each user and minute. A window is done, and its state dropped, when the
-    watermark has passed it."""
+    """Counts of each user and minute. In append mode a window is given out, and its state
+    dropped, when the watermark has passed it: ``late`` after the last event seen."""
     counted = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
     return counted.select("user_id", F.col("w.start").alias("minute"), "n")
 
@@ -46,7 +46,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     where = f"{base}/rows/all" if mode == "complete" else f"{base}/rows"
-    return spark.read.schema(stream.schema).parquet(where)
+    return spark.read.schema(stream.schema).parquet(where).select(*stream.columns)
 
 
 def query_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,11 @@ def query_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(requests_per_minute(events_stream(spark, sf_dir)), "complete")
+    return drained(requests_per_minute(events_stream(spark, sf_dir)), "append")
 
 
 SQL = {
     "l01_latest_state_stream": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS updated_at FROM events GROUP BY user_id",
-    "l11_rate_limit_stream": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL",
+    "l11_rate_limit_stream": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY user_id, date_trunc('minute', ts)",
 }
 QUERIES = {"l01_latest_state_stream": query_latest, "l11_rate_limit_stream": query_per_minute}
