@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,41 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of shipped files on the driver; they go when the driver's Python ends.
+_SHIPPED: list[tempfile.TemporaryDirectory] = []
+
+
+def shipped(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
+    """Give every executor a file of arrays, once, and return the name for ``mapped``. Spark
+    serves the file from the driver; tasks find it with ``SparkFiles``."""
+    folder = tempfile.TemporaryDirectory(prefix="quoin-")
+    _SHIPPED.append(folder)
+    name = f"quoin-{uuid.uuid4().hex}"
+    stored(arrays, os.path.join(folder.name, name))
+    spark.sparkContext.addFile(os.path.join(folder.name, name))
+    return name
+
+
+def stored(arrays: dict[str, np.ndarray], path: str) -> None:
+    """Arrays behind a line that states name, type, length and place of each."""
+    told, at = [], 0
+    for name, x in arrays.items():
+        told.append((name, x.dtype.str, len(x), at))
+        at += -(-x.nbytes // 8) * 8
+    head = json.dumps(told).encode()
+    with open(path, "wb") as file:
+        file.write(head + b" " * (-(len(head) + 1) % 8) + b"\n")
+        for x in arrays.values():
+            file.write(x.tobytes() + bytes(-x.nbytes % 8))
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a stored file, memory-mapped: workers of a node share its pages."""
+    with open(path, "rb") as file:
+        head = file.readline()
+    return {name: np.memmap(path, kind, "r", len(head) + at, (n,)) if n else np.empty(0, kind) for name, kind, n, at in json.loads(head)}
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -46,12 +85,14 @@ def per_text(
     schema: str,
     many: bool = False,
     step_chars: int = 4_000_000,
+    together: bool = False,
 ) -> DataFrame:
     """Apply a small per-text function to a string column, in Arrow batches.
 
     ``make()`` runs once in each task and returns the function. It gets a text (null as
     empty) and returns the new columns' values, or with ``many`` several such rows. The
-    other columns of ``df`` are repeated beside them; ``column`` itself is not returned.
+    other columns of ``df`` are repeated beside them; ``column`` itself is not returned. With
+    ``together`` it gets a list of texts and returns a row for each.
     Results leave the task whenever about ``step_chars`` characters have been read, so a
     batch of very long texts is never held with all its results.
     """
@@ -63,10 +104,10 @@ def per_text(
         for batch in batches:
             texts = batch.column(len(rest))
             others = pa.Table.from_batches([batch]).select(list(range(len(rest))))
-            rows, at, out, seen = [], [], [], 0
+            rows, at, seen = [], [], 0
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
-                got = function(text)
+                got = text if together else function(text)
                 if many:
                     for row in got:
                         rows.append(row)
@@ -76,6 +117,8 @@ def per_text(
                     at.append(i)
                 seen += len(text)
                 if seen >= step_chars or i + 1 == len(texts):
+                    if together:
+                        rows = function(rows)
                     if rows:
                         columns = [c.combine_chunks() if c.num_chunks else pa.array([], c.type) for c in others.take(pa.array(at, pa.int64())).columns]
                         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
