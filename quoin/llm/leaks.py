@@ -7,28 +7,34 @@ diagonals that overlap by k. Bands that reach the item's bound are kept and veri
 banded alignment of the whole item.
 
 Texts and items are compared in lower case, runs of white space and ASCII punctuation as one
-blank, by code points. Texts are searched whole; nothing is shuffled. The index goes to the
-executors in slices of ``INDEX_CHARS`` characters of benchmark text, one scan for each slice.
-
-Null and empty texts have no leaks. Items that are null or shorter than a q-gram are never
-found. Items shorter than ``q / rate`` get the largest edit budget that leaves the bound
-positive. Repeated items are each reported; repeated rows of documents are each judged. Extra
-columns are carried along; one named ``leaks`` is replaced.
+blank, by code points. Texts are searched whole, in one scan; nothing is shuffled. The index is
+made in slices of about ``INDEX_CHARS`` characters of benchmark text, on the driver, one after
+the other, and shipped as files, which all workers of a node map: what a worker holds itself
+does not grow with the benchmark.
+
+Items shorter than ``q / rate`` get the largest edit budget that leaves the bound positive.
+Items shorter than a q-gram have none: they are found where their words stand in the text in
+a run. Null and empty texts have no leaks; items that are null or without a letter or digit
+are never found. Repeated items are each reported; repeated rows of documents are each judged.
+Without items or documents there are no leaks. Extra columns are carried along; one named
+``leaks`` is replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import guarded, per_text, read, text_or_empty
+from quoin.llm.common import guarded, mapped, per_text, read, shipped, text_or_empty
 
 Q, RATE = 12, 0.06
-#: Characters of benchmark text in one index.
-INDEX_CHARS = 20_000_000
+#: Characters of benchmark text in one slice of the index, but for one longer item.
+INDEX_CHARS = 4_000_000
 FILTER_BITS = 23
+NONE = np.iinfo(np.int64).min
 LEAKS = "array<struct<item_id: long, distance: int, start: int, end: int>>"
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -55,49 +61,78 @@ def hashes(points: np.ndarray) -> np.ndarray:
     return h8[:n] * power(4) + h4[8 : 8 + n]
 
 
-class Index:
-    """The q-grams of the benchmark items, and for each item its budget and bound."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.texts, self.edits, self.bound = [], [], [], []
-        keys, owner, place = [], [], []
-        for item, text in items:
-            points = code_points(plain(text))
-            n = len(points)
-            if n < Q:
-                continue
-            k = min(int(RATE * n), (n - Q) // Q)
-            own = len(self.ids)
-            self.ids.append(item)
-            self.texts.append(points)
-            self.edits.append(k)
-            self.bound.append(n + 1 - (k + 1) * Q)
+def slot(found: np.ndarray) -> np.ndarray:
+    return ((found * np.uint64(BASE)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def built(items: list[tuple[int | None, str]]) -> dict[str, np.ndarray]:
+    """The arrays of an index: each item's id, edit budget, bound and code points, and the
+    items' q-grams with their owners and places, by hash."""
+    ids, edits, bound, texts, keys, owner, place = [], [], [], [], [], [], []
+    for item, text in items:
+        points = code_points(plain(text))
+        n = len(points)
+        if not n:
+            continue
+        k = min(int(RATE * n), (n - Q) // Q)
+        if n >= Q:
             found = hashes(points)
             keys.append(found)
-            owner.append(np.full(len(found), own))
-            place.append(np.arange(len(found)))
-        keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int64)
-        self.keys, start = np.unique(keys[order], return_index=True)
-        self.start = np.r_[start, len(keys)]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.slot(self.keys)] = True
-        self.edits, self.bound = np.array(self.edits, np.int64), np.array(self.bound, np.int64)
-        self.width = int(self.edits.max(initial=0)) + 1
+            owner.append(np.full(len(found), len(ids), np.int32))
+            place.append(np.arange(len(found), dtype=np.int32))
+        ids.append(NONE if item is None else item)
+        texts.append(points)
+        edits.append(max(0, k))
+        bound.append(n + 1 - (k + 1) * Q)
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    every = joined(keys, np.uint64)
+    order = np.argsort(every, kind="stable")
+    unique, start = np.unique(every[order], return_index=True)
+    seen = np.zeros(1 << FILTER_BITS, bool)
+    seen[slot(unique)] = True
+    return {
+        "ids": np.array(ids, np.int64),
+        "edits": np.array(edits, np.int64),
+        "bound": np.array(bound, np.int64),
+        "ends": np.cumsum([0, *map(len, texts)], dtype=np.int64),
+        "points": joined(texts, np.uint32),
+        "keys": unique,
+        "start": np.r_[start, len(every)].astype(np.int64),
+        "owner": joined(owner, np.int32)[order],
+        "place": joined(place, np.int32)[order],
+        "filter": seen,
+    }
 
-    @staticmethod
-    def slot(found: np.ndarray) -> np.ndarray:
-        return ((found * np.uint64(BASE)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def leaks(self, text: str) -> list[dict]:
-        """The best region of every item that lies in the text within its budget."""
-        points = code_points(plain(text))
-        if len(points) < Q or not len(self.keys):
+class Index:
+    """One slice of the benchmark, over the arrays of ``built``."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.__dict__.update(arrays)
+        self.width = int(self.edits.max(initial=0)) + 1
+        self.short: dict[bytes, list[int]] = {}
+        for own in np.flatnonzero(np.diff(self.ends) < Q).tolist():
+            self.short.setdefault(self.text(own).tobytes().decode("utf-32-le").encode(), []).append(own)
+        self.words = {phrase: set(phrase.split()) for phrase in self.short}
+
+    def text(self, own: int) -> np.ndarray:
+        return self.points[self.ends[own] : self.ends[own + 1]]
+
+    def phrases(self, text: bytes, words: set[bytes]) -> list[tuple[int, int, int, int]]:
+        """(item, 0, start, end) of the short items whose words stand in the text in a run."""
+        out = []
+        for phrase, needed in self.words.items():
+            if needed <= words and (at := (b" " + text + b" ").find(b" " + phrase + b" ")) >= 0:
+                start = len(text[:at].decode())
+                out += [(own, 0, start, start + len(phrase.decode())) for own in self.short[phrase]]
+        return out
+
+    def regions(self, points: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, distance, start, end) of the best region of every item that lies in the text
+        within its budget. ``found`` has the hashes of the text's q-grams."""
+        if not len(found) or not len(self.keys):
             return []
-        found = hashes(points)
-        at = np.flatnonzero(self.filter[self.slot(found)])
+        at = np.flatnonzero(self.filter[slot(found)])
         k = np.minimum(np.searchsorted(self.keys, found[at]), len(self.keys) - 1)
         real = self.keys[k] == found[at]
         at, k = at[real], k[real]
@@ -106,30 +141,42 @@ class Index:
         many = self.start[k + 1] - self.start[k]
         first = np.repeat(self.start[k] - np.r_[0, np.cumsum(many)[:-1]], many)
         entry = first + np.arange(many.sum())
-        owner = self.owner[entry]
+        owner = self.owner[entry].astype(np.int64)
         diagonal = np.repeat(at, many) - self.place[entry]
         # bands of `width` diagonals, each reaching k further; a hit near a band's start is also the last one's
         band = diagonal // self.width
         also = diagonal - band * self.width < self.edits[owner]
         owner2, band2 = np.r_[owner, owner[also]], np.r_[band, band[also] - 1]
         low = int(band2.min())
-        keyed = owner2 * (int(band2.max()) - low + 1) + (band2 - low)
-        keys, counts = np.unique(keyed, return_counts=True)
         span = int(band2.max()) - low + 1
+        keys, counts = np.unique(owner2 * span + (band2 - low), return_counts=True)
         owners, bands = keys // span, keys % span + low
         kept = counts >= self.bound[owners]
         best: dict[int, tuple[int, int, int]] = {}
         for own, b in zip(owners[kept].tolist(), bands[kept].tolist()):
             if own in best and best[own][0] == 0:
                 continue
-            budget = int(self.edits[own])
-            item = self.texts[own]
+            budget, item = int(self.edits[own]), self.text(own)
             start = max(0, b * self.width - budget)
             end = min(len(points), (b + 1) * self.width + 2 * budget + len(item))
             region = aligned(item, points[start:end], budget)
             if region and (own not in best or region[0] < best[own][0]):
                 best[own] = (region[0], start + region[1], start + region[2])
-        return [{"item_id": self.ids[own], "distance": d, "start": s, "end": e} for own, (d, s, e) in sorted(best.items())]
+        return [(own, *region) for own, region in best.items()]
+
+
+def leaks(indexes: list[Index], text: str) -> list[dict]:
+    """What is found of the benchmark in a text, in the order of the items."""
+    octets = plain(text)
+    points = code_points(octets)
+    found = hashes(points) if len(points) >= Q else np.empty(0, np.uint64)
+    words = set(octets.split()) if any(index.short for index in indexes) else set()
+    out = []
+    for index in indexes:
+        for own, distance, start, end in index.regions(points, found) + (index.phrases(octets, words) if index.short else []):
+            item = int(index.ids[own])
+            out.append({"item_id": None if item == NONE else item, "distance": distance, "start": start, "end": end})
+    return sorted(out, key=lambda x: (x["item_id"] is not None, x["item_id"] or 0, x["start"], x["end"]))
 
 
 def whole(item: np.ndarray, window: np.ndarray) -> int:
@@ -189,23 +236,20 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-total // INDEX_CHARS))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    own, back = guarded(docs, ["leaks"])
-    out = docs.select(*own, text_or_empty(text).alias("_text"), F.array().cast(LEAKS).alias("_leaks"))
+    names = []
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        shared = spark.sparkContext.broadcast(rows)
+        names.append(shipped(spark, built(rows)))
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
-        def make(shared=shared):
-            index = Index(shared.value)
-            return lambda value: (index.leaks(value),)
+    def make():
+        indexes = [Index(mapped(SparkFiles.get(name))) for name in names]
+        return lambda value: (leaks(indexes, value),)
 
-        # the text goes in twice where a later slice needs it again
-        more = out.withColumn("_again", F.col("_text")) if k + 1 < slices else out
-        scanned = per_text(more, "_text", make, [("_found", kind)], f"_found {LEAKS}").withColumn("_leaks", F.concat("_leaks", "_found")).drop("_found")
-        out = scanned.withColumnRenamed("_again", "_text")
-    return out.select(*back, F.col("_leaks").alias("leaks"))
+    own, back = guarded(docs, ["leaks"])
+    scanned = per_text(docs.select(*own, text_or_empty(text).alias("_text")), "_text", make, [("_leaks", kind)], f"_leaks {LEAKS}")
+    return scanned.select(*back, F.col("_leaks").alias("leaks"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
