@@ -26,14 +26,16 @@ def local_session(cpus: int | str = 8, name: str = "quoin") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) is a temporary folder made and set as the checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on
+    one machine (tests, a laptop) is a temporary folder made and set as the checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors would not see a folder of the driver's")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quoin-"))
     return context.getCheckpointDir()
 
