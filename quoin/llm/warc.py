@@ -1,26 +1,36 @@
 """WARC archives and the merged index of their captures.
 
 ``write`` turns captures into WARC records and writes them as text files whose line separator
-is the empty line pair that ends a record, so Spark's own writer makes the archives. Equal
-payloads are found by digest and length: the smallest capture id is the response, the others
-become revisit records that name it. ``read`` parses the archives by their stated lengths
-and checks each payload against its digest. ``merged_index`` orders all captures by URL key
-and time: each archive's captures are a sorted run, ranges of the key and time are dealt to
-tasks, and a task merges the runs' pieces with a loser tree.
-
-Null html counts as an empty payload, a null url as an empty one. Captures without an id are
+is the empty line pair that ends a record, so Spark's own writer makes the archives. Every
+archive is a run sorted by URL key, time and capture id. Equal payloads are found by digest and
+length: the smallest capture id is the response, the others become revisit records that name
+it. ``read`` takes the archives record by record, by their stated lengths, and checks each
+payload against its digest; what a task has read it merges, ``MERGE_ROWS`` captures at most, to
+a longer run. ``merged_index`` orders all captures: ranges of URL key, time and id are dealt to
+tasks, and a task merges the runs' pieces. Both merges are loser trees.
+
+An archive has at most ``FILE_ROWS`` records and no more than one writing task holds, which
+adaptive execution sizes by bytes. It is compressed as one file, not record by record. A reader
+holds its compressed bytes, which end at 2 GB, one record at a time beside them, and no more
+than the index rows of a run. A single payload may have up to 2 GB.
+
+Null html counts as an empty payload, a null url or time as an empty one. Captures without an id are
 written but never a response for others. Repeated rows (same id, same payload) are one
-response and no revisit of itself: both are responses. Hot payloads shrink to one row a task
-before the shuffle, and the join back is split by adaptive execution. Hot URLs are dealt to
-many ranges, because the time takes part in the order.
+response and no revisit of itself: both are responses. Columns beside the four that ``write``
+names are not read. A table without rows makes archives without records, and an index without
+rows. Hot payloads shrink to one row a task before the shuffle, and the join back is split by
+adaptive execution. Hot URLs are dealt to many ranges, because the time takes part in the order.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,14 +41,15 @@ from quoin.llm.common import written
 from quoin.session import shared_folder
 
 EMPTY_LINE = "\r\n"
+STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 BETWEEN = "\r\n\r\n"
 #: The alphabets of base 32, Java's and the standard's.
 DIGITS, BASE32 = "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: What stands before a payload in a response's block.
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Captures in a file at most, so that a reader holds one bounded file.
-FILE_ROWS = 1_000
-#: Index rows that a merging task is meant to hold.
+#: Captures in an archive at most.
+FILE_ROWS = 20_000
+#: Index rows that a run or a merging task is meant to hold.
 MERGE_ROWS = 100_000
 
 
@@ -72,14 +83,13 @@ def record(row_type: str = "record_type") -> Column:
     HTTP head and the payload; a revisit's is empty and states the payload's length apart."""
     response = F.col(row_type) == "response"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(EMPTY_LINE))
-    clean = F.regexp_replace("url", r"[\r\n]", "")
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return F.concat(
         F.lit("WARC/1.1" + EMPTY_LINE),
         line("WARC-Type", F.col(row_type)),
         line("WARC-Record-ID", F.concat(F.lit("<urn:capture:"), number("capture_id"), F.lit(">"))),
-        line("WARC-Target-URI", clean),
-        line("WARC-Date", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Target-URI", F.col("url")),
+        line("WARC-Date", F.coalesce(F.date_format("time", STAMP), F.lit(""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(response, F.lit("")).otherwise(
             F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:capture:"), number("refers_to"), F.lit(">"))), line("X-Payload-Length", number("payload_bytes")))
@@ -91,26 +101,35 @@ def record(row_type: str = "record_type") -> Column:
     )
 
 
+def key_of(url: str) -> Column:
+    """``url_key`` as an expression, by which the archives are sorted."""
+    behind = F.expr(f"substring({url}, instr({url}, '://') + 3)")
+    bare = F.when((F.instr(url, "://") > 0) & (behind != ""), behind).otherwise(F.col(url))
+    rest = F.lower(F.substring_index(bare, "#", 1))
+    host = F.regexp_replace(F.substring_index(F.substring_index(rest, "/", 1), ":", 1), r"^www\.", "")
+    path = F.when(F.instr(rest, "/") > 0, F.concat(F.lit("/"), F.regexp_replace(rest, r"(?s)^[^/]*/", ""))).otherwise("")
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), path)
+
+
 def write(captures: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Archives of ``captures`` under ``path``, each file of at most ``FILE_ROWS`` records."""
-    rows = deduplicated(captures, least_bytes)
-    out = rows.select(record().alias("value"))
-    out.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
+    """Archives of ``captures`` (capture_id, url, time, payload) under ``path``."""
+    rows = deduplicated(captures, least_bytes).withColumn("url", F.regexp_replace("url", r"[\r\n]", ""))
+    out = rows.select(record().alias("value"), key_of("url").alias("key"), F.coalesce(F.date_format("time", STAMP), F.lit("")).alias("stamp"), "capture_id")
+    runs = out.sortWithinPartitions("key", "stamp", F.asc_nulls_first("capture_id")).select("value")
+    runs.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+def parse(file: io.BufferedIOBase) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
     """Header fields and block of each record, in the file's order."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(b": ", 1) for line in lines[1:])
-        size = int(fields[b"Content-Length"])
-        start = end + 4
-        yield fields, content[start : start + size]
-        at = start + size + len(BETWEEN)
+    while first := file.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {first[:40]!r}")
+        fields = {}
+        while line := file.readline().rstrip(b"\r\n"):
+            name, _, value = line.partition(b": ")
+            fields[name] = value
+        yield fields, file.read(int(fields[b"Content-Length"]))
+        file.read(len(BETWEEN))
 
 
 def url_key(url: str) -> str:
@@ -125,33 +144,47 @@ def url_key(url: str) -> str:
 READ_SCHEMA = "capture_id long, url string, url_key string, time string, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, place int"
 
 
+def capture(fields: dict[bytes, bytes], block: bytes) -> tuple:
+    """The index row of a record, without its run and place."""
+    number = lambda value: int(value[len(b"<urn:capture:") : -1] or -1) if value else None
+    response = fields[b"WARC-Type"] != b"revisit"
+    payload = memoryview(block)[block.find(EMPTY_LINE.encode() * 2) + 4 :] if response else memoryview(b"")
+    digest = fields[b"WARC-Payload-Digest"].removeprefix(b"sha1:")
+    if response and base64.b32encode(hashlib.sha1(payload).digest()) != digest:
+        raise ValueError(f"{fields[b'WARC-Record-ID']!r}: a payload differs from its digest")
+    url, own = fields[b"WARC-Target-URI"].decode(), number(fields[b"WARC-Record-ID"])
+    size = len(payload) if response else int(fields[b"X-Payload-Length"])
+    return (None if own == -1 else own, url, url_key(url), fields[b"WARC-Date"].decode(), size, digest.decode(), "response" if response else "revisit", number(fields.get(b"WARC-Refers-To")))
+
+
+def in_order(rows: list[tuple], by) -> list[tuple]:
+    """The rows sorted; those of an archive written here are sorted already."""
+    keys = [by(row) for row in rows]
+    return rows if all(map(lambda a, b: a <= b, keys, keys[1:])) else sorted(rows, key=by)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record under ``path``, its payload checked against its digest. ``run``
-    names the archive, ``place`` the record's rank there by URL key and time."""
+    names a sorted run, that of one archive or of several merged, ``place`` the rank there."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    number = lambda value: int(value[len(b"<urn:capture:") : -1] or -1) if value else None
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
+        runs, size, name = [], 0, None
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                content = content.as_py()
-                rows = []
-                for fields, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                    response = fields[b"WARC-Type"] != b"revisit"
-                    block = block.partition(b"\r\n\r\n")[2]
-                    digest = fields[b"WARC-Payload-Digest"].removeprefix(b"sha1:")
-                    if response and base64.b32encode(hashlib.sha1(block).digest()) != digest:
-                        raise ValueError(f"{name}: a payload differs from its digest")
-                    url = fields[b"WARC-Target-URI"].decode()
-                    capture = number(fields[b"WARC-Record-ID"])
-                    size = len(block) if response else int(fields[b"X-Payload-Length"])
-                    rows.append((None if capture == -1 else capture, url, url_key(url), fields[b"WARC-Date"].decode(), size, digest.decode(), "response" if response else "revisit", number(fields.get(b"WARC-Refers-To"))))
-                rows.sort(key=order)
-                rows = [(*row, name, i) for i, row in enumerate(rows)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), READ_TYPES)], names=READ_NAMES)
+            for i in range(batch.num_rows):
+                content = batch.column(1)[i].as_buffer()
+                file = io.BufferedReader(pa.BufferReader(content))
+                if file.peek(2)[:2] == b"\x1f\x8b":
+                    file = gzip.GzipFile(fileobj=file)
+                rows = in_order([capture(*found) for found in parse(file)], order)
+                if runs and size + len(rows) > MERGE_ROWS:
+                    yield from merged(runs, name)
+                    runs, size = [], 0
+                runs, size, name = [*runs, rows], size + len(rows), batch.column(0)[i].as_py()
+        yield from merged(runs, name)
+
+    def merged(runs: list[list[tuple]], name: str) -> Iterator[pa.RecordBatch]:
+        yield from batches_of((*row, name, i) for i, row in enumerate(LoserTree([iter(run) for run in runs], order)))
 
     return files.mapInArrow(records, READ_SCHEMA)
 
@@ -212,16 +245,9 @@ def merged_index(captures: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 pieces.setdefault(row[8], []).append(row)
-        for piece in pieces.values():
-            piece.sort(key=lambda row: row[9])  # a run's own order, which the exchange may have mixed
-        out = []
-        for position, row in enumerate(LoserTree([iter(x) for _, x in sorted(pieces.items())], order)):
-            out.append((*row, position))
-            if len(out) == 10_000:
-                yield rows_out(out)
-                out = []
-        if out:
-            yield rows_out(out)
+        # a run's rows come in its order, but for those that two tasks have read
+        runs = [iter(in_order(piece, lambda row: row[9])) for _, piece in sorted(pieces.items())]
+        yield from batches_of((*row, position) for position, row in enumerate(LoserTree(runs, order)))
 
     return dealt.mapInArrow(merge, schema)
 
@@ -235,8 +261,11 @@ def histories(index: DataFrame) -> DataFrame:
     return index.join(sizes.select("part", before.alias("before")), "part").withColumn("rank", F.col("before") + F.col("position") + 1).drop("before", "part", "position")
 
 
-def rows_out(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), [*READ_TYPES, pa.int32(), pa.int64()])], names=[*READ_NAMES, "part", "position"])
+def batches_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Index rows, with part and position where they have them, as Arrow batches."""
+    while some := list(islice(rows, 10_000)):
+        kinds = [*READ_TYPES, pa.int32(), pa.int64()][: len(some[0])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*some), kinds)], names=[*READ_NAMES, "part", "position"][: len(kinds)])
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
