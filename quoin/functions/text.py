@@ -56,11 +56,14 @@ def mapped(values: dict[str, str], key: Column) -> Column:
 
 
 def hits(text: str, pattern: str) -> Column:
-    """All matches with their places: array of (start from 0, hit)."""
+    """All matches with their places: array of (start from 0, hit), made in one pass."""
     found = f"regexp_extract_all({text}, {literal(pattern)}, 0)"
     pieces = f"split({text}, {literal(pattern)}, -1)"
-    before = f"aggregate(slice(pieces, 1, i + 1), 0, (n, x) -> n + length(x)) + aggregate(slice(found, 1, i), 0, (n, x) -> n + length(x))"
-    return F.expr(f"flatten(transform(array(struct({found} AS found, {pieces} AS pieces)), s -> transform(s.found, (hit, i) -> struct({before.replace('pieces', 's.pieces').replace('found', 's.found')} AS start, hit))))")
+    # behind the last piece there is no match
+    steps = f"zip_with({found}, {pieces}, (hit, piece) -> named_struct('hit', hit, 'skip', length(piece)))"
+    none = "named_struct('at', 0, 'out', cast(array() AS array<struct<start: int, hit: string>>))"
+    step = "named_struct('at', acc.at + x.skip + length(x.hit), 'out', array_append(acc.out, named_struct('start', acc.at + x.skip, 'hit', x.hit)))"
+    return F.expr(f"aggregate({steps}, {none}, (acc, x) -> IF(x.hit IS NULL, acc, {step}), acc -> acc.out)")
 
 
 def literal(text: str) -> str:

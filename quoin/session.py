@@ -7,6 +7,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that holds this package, which Python workers need on their path.
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def local_session(cpus: int | str = 8, name: str = "quoin") -> SparkSession:
     """A local session with the settings that every result here assumes: UTC and AQE."""
@@ -17,6 +20,7 @@ def local_session(cpus: int | str = 8, name: str = "quoin") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUOIN_DRIVER_MEMORY", "8g"))
+        .config("spark.executorEnv.PYTHONPATH", PACKAGE_ROOT)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
