@@ -10,8 +10,8 @@ that they touch, each bucket keeps for every role its first start and last end,
 looks into the buckets from ``reach`` before its start to ``reach`` behind its end. No pairs of
 parts are made, however many stand in one bucket. A scope ends at a blank line.
 
-Null and empty texts have no spans and are still returned, each with empty results. Texts are
-read whole. Repeated rows, also such of one doc_id, are judged row by row. Columns other than
+Null and empty texts have no spans and are still returned, each with empty results; a table
+without rows gives none. Texts are read whole. Repeated rows, also such of one doc_id, are judged row by row. Columns other than
 ``doc_id`` and ``text`` are carried along by ``scan`` unless they bear a name of its results.
 """
 
