@@ -2,23 +2,35 @@
 
 Every document gets counts over its whole text. From them comes a vector of transformed
 statistics, and for each (lang, source) a minimum-covariance-determinant estimate of its
-place and spread: starting from quartiles, each concentration step keeps the ``SUBSET`` of
-rows nearest by Mahalanobis distance and takes mean and covariance of those. A document
-whose distance under the last estimate exceeds its language's cut-off is rejected. That is
-the chi-square quantile of ``share``, stretched as far as the upper half of the language's
-own distances is: to their median and, in the exponent, to their upper quartile. For normal
-rows it is the quantile itself; heavy tails move it out, and so do junk rows as they come
-near a quarter of a language.
+place and spread. There are three starts, all without chance: medians and quartiles, the
+correlation of the tanh of standardised rows, and that of their directions (spatial signs).
+From each start, concentration steps keep the ``SUBSET`` of rows nearest by Mahalanobis
+distance and take mean and covariance of those. The start whose covariance has the smallest
+determinant in the end gives the estimate.
+
+Groups of any size are treated alike: as in the regularised form of the estimator, a group's
+mean and covariance are pooled with those of its language, and a language's with those of the
+whole corpus, which weigh as much as ``PRIOR`` rows. A group of one row is so held against its
+language, one of thousands against itself, and no covariance is singular.
+
+A document whose distance exceeds its language's cut-off is rejected. That is the chi-square
+quantile of ``share``, stretched as far as the upper half of the language's own distances is:
+to their median and, in the exponent, to their upper quartile, each pooled with the corpus's.
+It is also raised by as much as an estimate from so few rows as the document's group and its
+prior have errs for new rows, by the quantile of Hotelling's distribution.
+For normal rows it is the quantile itself; heavy tails move it out, and so do junk rows as they
+come near a quarter of a language.
 
 All rows take part in every step and no group is gathered: a step is one aggregation to
-(group, bin of log distance) with sums of first and second moments, so a group of any size
-shrinks to some hundred rows before the shuffle. The subset ends at a bin's upper edge.
-Only the five by five inverse is made in Python, once a group and step.
+(group, start, bin of log distance) with sums of first and second moments, so a group of any
+size shrinks to some hundred rows before the shuffle. Of the bin in which the subset ends the
+fitting share of its sums is taken, so the subset has its exact size. Only the five by five
+algebra is done in Python, once a group, start and step.
 
 Null texts count as empty: no words. Null lang or source is a group of its own. Rows that fail
-the base rules stay out of the estimates. Groups of fewer than ``least`` other rows are held
-against the estimate of their whole language, languages of fewer rows than that against the
-estimate of the whole corpus, which any row suffices for. Repeated rows are judged alike.
+the base rules stay out of the estimates; where a group has no others, they have no distance.
+Repeated rows are judged alike. Texts of any length are counted whole; from ``LONG`` words on
+the repeated windows are found by sorting numbers, in memory of some 50 bytes a word.
 """
 
 from __future__ import annotations
@@ -44,13 +56,43 @@ LEAST_WORDS, REPEAT_PERCENT = 50, 50
 BLANKS = " \t\n\v\f\r"
 UPPER, PUNCTUATION = bytes(range(65, 91)), bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Share of a group's rows that a concentration step keeps, steps, bins a unit of log distance.
-SUBSET, STEPS, BINS = 0.75, 5, 8
+SUBSET, STEPS, BINS = 0.75, 4, 16
+#: Rows that a group's parent counts for in the group's estimate.
+PRIOR = 60.0
+LONG = 20_000
+#: Words of five letters, nine tenths of them unlike, a tenth with a capital and a fifth with a
+#: mark, that are added to each text.
+USUAL_WORDS = 50
 #: The statistics, each with the least spread that it is taken to have.
 STATISTICS = {"x1": 0.3, "x2": 0.05, "x3": 0.05, "x4": 0.05, "x5": 0.05}
 GROUPS_SENT = 20_000
+TASK_ROWS = 200_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def repeat_words(words: list[bytes]) -> int:
+    """Words that lie in a window of three words which the text has twice or more."""
+    windows = list(zip(words, words[1:], words[2:]))
+    repeat = 0
+    if len(set(windows)) < len(windows):
+        often, end = Counter(windows), 0
+        for i, window in enumerate(windows):
+            if often[window] > 1:
+                repeat += i + 3 - max(i, end)
+                end = i + 3
+    return repeat
+
+
+def repeat_words_sorted(words: list[bytes]) -> int:
+    """The same for long texts: words and pairs become numbers, so windows are numbers too."""
+    numbers: dict[bytes, int] = {}
+    x = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    pairs = np.unique(x[:-1] * len(numbers) + x[1:], return_inverse=True)[1]
+    _, of, often = np.unique(pairs[:-1] * len(numbers) + x[2:], return_inverse=True, return_counts=True)
+    first = np.r_[often[of] > 1, False, False]
+    return int((first | np.r_[False, first[:-1]] | np.r_[False, False, first[:-2]]).sum())
+
+
 def counts(text: str) -> tuple:
     octets = text.encode()
     words = octets.split()
@@ -62,23 +104,17 @@ def counts(text: str) -> tuple:
                 dup_lines += 1
             else:
                 seen.add(line)
-    windows = list(zip(words, words[1:], words[2:]))
-    repeat = 0
-    if len(set(windows)) < len(windows):
-        often, end = Counter(windows), 0
-        for i, window in enumerate(windows):
-            if often[window] > 1:
-                repeat += i + 3 - max(i, end)
-                end = i + 3
+    repeat = repeat_words(words) if n < LONG else repeat_words_sorted(words)
     chars = len(text) - sum(map(text.count, BLANKS))
     upper = len(octets) - len(octets.translate(None, UPPER))
     marks = len(octets) - len(octets.translate(None, PUNCTUATION))
+    # shares of a short text vary more, so some usual words are counted with it
+    more, shares = chars + 5 * USUAL_WORDS, (upper + 0.1 * USUAL_WORDS, marks + 0.2 * USUAL_WORDS)
     x = (
         math.log1p(n),
-        math.log((chars + 1) / (n + 1)),
-        math.log((len(set(words)) + 1) / (n + 1)),
-        math.sqrt(upper / max(chars, 1)),
-        math.sqrt(marks / max(chars, 1)),
+        math.log(more / (n + USUAL_WORDS)),
+        math.log((len(set(words)) + 0.9 * USUAL_WORDS) / (n + USUAL_WORDS)),
+        *(math.sqrt(share / more) for share in shares),
     )
     return (n, chars, sum(map(text.count, SYMBOLS)), dup_lines, repeat, *x)
 
@@ -93,14 +129,14 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
-def chi_square(p: int, x: float) -> float:
+def chi_square(p: int, x):
     """Its distribution function, by the series of the incomplete gamma function."""
-    a, x = p / 2, x / 2
-    term = total = 1 / a
+    a, x = p / 2, np.maximum(np.asarray(x, float) / 2, 1e-300)
+    term = total = np.full(x.shape, 1 / a)
     for k in range(1, 500):
-        term *= x / (a + k)
-        total += term
-    return total * math.exp(-x + a * math.log(x) - math.lgamma(a)) if x > 0 else 0.0
+        term = term * x / (a + k)
+        total = total + term
+    return total * np.exp(-x + a * np.log(x) - math.lgamma(a))
 
 
 def quantile(p: int, share: float) -> float:
@@ -111,9 +147,26 @@ def quantile(p: int, share: float) -> float:
     return low
 
 
-def consistency(p: int) -> float:
-    """What turns the spread of the nearest ``SUBSET`` of normal rows into that of all."""
-    return SUBSET / chi_square(p + 2, quantile(p, SUBSET))
+def predicted(p: int, share: float, m: float) -> float:
+    """The quantile of the squared distance of a new normal row from the mean and covariance of
+    ``m`` rows: a multiple of F's, got by averaging over the chi-square of its denominator."""
+    free = m - p
+    t = np.linspace(max(1e-3, free - 12 * math.sqrt(2 * free)), free + 12 * math.sqrt(2 * free), 400)
+    weight = (free / 2 - 1) * np.log(t) - t / 2
+    weight = np.exp(weight - weight.max())
+    low, high = 0.0, 400.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (weight * chi_square(p, mid * t / free)).sum() / weight.sum() < share else (low, mid)
+    return low * (m * m - 1) / m / free
+
+
+def allowance(share: float) -> tuple[float, float]:
+    """a and b for which 1 + a / m + b / m^2 is about that quantile by the chi-square's."""
+    x, y = 0.75 * PRIOR, 4 * PRIOR
+    at = lambda m: (predicted(P, share, m) / quantile(P, share) - 1) * m
+    b = (at(x) - at(y)) / (1 / x - 1 / y)
+    return at(x) - b / x, b
 
 
 def small(df: DataFrame, n: int):
@@ -121,95 +174,164 @@ def small(df: DataFrame, n: int):
     return F.broadcast(df) if n <= GROUPS_SENT else df
 
 
-def quartiles(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Median and spread of each statistic and group, from exact counts of narrow bins."""
+P = len(STATISTICS)
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+#: A group, its parent: the whole, languages, sources of a language.
+LEVELS = [["_whole"], ["_whole", "_lang"], ["_whole", "_lang", "_source"]]
+MEANS, COVARIANCES, PRECISIONS = [f"u{i}" for i in range(P)], [f"c{i}_{j}" for i, j in PAIRS], [f"w{i}_{j}" for i, j in PAIRS]
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, some ``n`` in number, in as few tasks as hold ``TASK_ROWS`` each: a task's partial
+    sums are few beside its rows, and what follows in one task needs no exchange."""
+    return rows.coalesce(1 + n // TASK_ROWS)
+
+
+def gathered(sums: DataFrame, n: int) -> DataFrame:
+    """The same for sums that are yet to be made: made where they meet, in all tasks, then moved."""
+    return sums.repartition(1 + n // TASK_ROWS)
+
+
+def narrow_bins(rows: DataFrame) -> DataFrame:
+    """Exact counts of narrow bins of each statistic in each group of the finest level."""
+    each = F.array(*(F.struct(F.lit(c).alias("c"), F.floor(F.col(c) / (spread / 10)).alias("bin")) for c, spread in STATISTICS.items()))
+    keys = LEVELS[-1]
+    return rows.select(*keys, F.explode(each).alias("_s")).groupBy(*keys, F.col("_s.c").alias("c"), F.col("_s.bin").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows ``n``, median ``m`` and spread ``s`` of each statistic, for each group."""
     width = {c: s / 10 for c, s in STATISTICS.items()}
-    long = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.floor(F.col(c) / width[c]).alias("bin")) for c in STATISTICS))).alias("_s"))
-    bins = long.groupBy(*keys, F.col("_s.c").alias("c"), F.col("_s.bin").alias("bin")).agg(F.count("*").alias("n"))
     of = Window.partitionBy(*keys, "c")
-    ranked = bins.withColumn("upto", F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(of))
+    own = bins.groupBy(*keys, "c", "bin").agg(F.sum("n").alias("n"))
+    ranked = own.withColumn("upto", F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(of))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin")))
-    each = ranked.where(F.col("all") >= least).groupBy(*keys, "c").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    out = []
-    for c, floor in STATISTICS.items():
+    each = ranked.groupBy(*keys, "c").agg(F.max("all").alias("all"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    out = [F.max("all").alias("rows")]
+    for i, (c, least) in enumerate(STATISTICS.items()):
         mine = F.col("c") == c
-        out.append(F.max(F.when(mine, (F.col("q2") + 0.5) * width[c])).alias(f"m_{c}"))
-        out.append(F.max(F.when(mine, F.greatest(F.lit(floor), (F.col("q3") - F.col("q1")) * width[c] / 1.349))).alias(f"s_{c}"))
+        out.append(F.max(F.when(mine, (F.col("q2") + 0.5) * width[c])).alias(f"m{i}"))
+        out.append(F.max(F.when(mine, F.greatest(F.lit(least), (F.col("q3") - F.col("q1")) * width[c] / 1.349))).alias(f"s{i}"))
     return each.groupBy(*keys).agg(*out)
 
 
-def distance(p: int):
-    """Squared Mahalanobis distance of z under mean u and precision w."""
-    d = [F.col(f"z{i}") - F.col(f"u{i}") for i in range(p)]
-    terms = [d[i] * d[j] * F.col(f"w{i}_{j}") * (1 if i == j else 2) for i in range(p) for j in range(i, p)]
+def distance():
+    """Squared Mahalanobis distance of the statistics under mean u and precision w."""
+    d = [F.col(c) - F.col(f"u{i}") for i, c in enumerate(STATISTICS)]
+    terms = [d[i] * d[j] * F.col(f"w{i}_{j}") * (1 if i == j else 2) for i, j in PAIRS]
     return sum(terms[1:], terms[0])
 
 
-def mcd(rows: DataFrame, keys: list[str], least: int = 60) -> tuple[DataFrame, int]:
-    """For each group: medians and spreads that standardise its rows, and the estimate's mean
-    ``u`` and precision ``w`` in those units. Also the number of groups."""
-    p = len(STATISTICS)
-    start = cut(quartiles(rows, keys, least))
+def square(pdf: pd.DataFrame, name: str) -> np.ndarray:
+    out = np.zeros((len(pdf), P, P))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = pdf[f"{name}{i}_{j}"]
+    return out
+
+
+def pooled(rows: np.ndarray, mean: np.ndarray, spread: np.ndarray, pdf: pd.DataFrame) -> dict:
+    """Mean, covariance, precision and log determinant, pooled with the parent's in ``pdf``
+    (columns p...), to which nothing but the least spread is added where there is no parent."""
+    if "pu0" in pdf:
+        part = (rows / (rows + PRIOR))[:, None]
+        mean = part * mean + (1 - part) * pdf[[f"p{c}" for c in MEANS]].to_numpy(float)
+        spread = part[..., None] * spread + (1 - part[..., None]) * square(pdf, "pc")
+    else:
+        spread = spread + np.diag([(s / 4) ** 2 for s in STATISTICS.values()])
+    inverse = np.linalg.inv(spread)
+    out = {f"u{i}": mean[:, i] for i in range(P)}
+    out |= {f"c{i}_{j}": spread[:, i, j] for i, j in PAIRS} | {f"w{i}_{j}": inverse[:, i, j] for i, j in PAIRS}
+    return out | {"size": np.linalg.slogdet(spread)[1]}
+
+
+def estimates(rows: DataFrame, bins: DataFrame, keys: list[str], parent: DataFrame | None) -> tuple[DataFrame, int]:
+    """For each group its ``rows``, mean ``u``, covariance ``c`` and precision ``w``, and the
+    number of groups. ``parent`` has the same for the groups above."""
+    start = quartiles(bins, keys)
+    if parent is not None:
+        told = parent.select(*keys[:-1], *(F.col(c).alias(f"p{c}") for c in [*MEANS, *COVARIANCES]))
+        start = start.join(told, keys[:-1])
+    start = cut(start)
     n = start.count()
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    z = [((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z{i}") for i, c in enumerate(STATISTICS)]
-    params = start.select("*", *(F.lit(0.0).alias(f"u{i}") for i in range(p)), *(F.lit(1.0 if i == j else 0.0).alias(f"w{i}_{j}") for i, j in pairs))
-    factor = consistency(p)
+    x = list(STATISTICS)
+    # turns the spread of the nearest SUBSET of normal rows into that of all
+    factor = SUBSET / chi_square(P + 2, quantile(P, SUBSET))
+    carried = [c for c in start.columns if c not in keys]
+    names = ["start", *MEANS, *COVARIANCES, *PRECISIONS, "size"]
+    schema = ", ".join([*(f"`{k}` string" for k in keys), "rows long", "start int", *(f"`{c}` double" for c in names[1:])])
+
+    def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            count = pdf["rows"].to_numpy(float)
+            middle, scale = (np.stack([pdf[f"{c}{i}"] for i in range(P)], axis=1) for c in "ms")
+            for k, name in enumerate(["", "t", "d"]):
+                shape = np.broadcast_to(np.eye(P), (len(pdf), P, P))
+                if name:
+                    got = square(pdf, name) + 1e-9 * np.eye(P)
+                    unit = np.sqrt(np.einsum("gii->gi", got))
+                    shape = got / unit[:, :, None] / unit[:, None, :]
+                yield pd.DataFrame({c: pdf[c] for c in [*keys, "rows"]} | {"start": k} | pooled(count, middle, shape * scale[:, :, None] * scale[:, None, :], pdf))
+
+    z = [(F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(x)]
+    seen = rows.join(small(start, n), keys).select(*keys, *(e.alias(f"z{i}") for i, e in enumerate(z)))
+    far = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(1e-9))
+    signs = seen.groupBy(*keys).agg(
+        *(F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in PAIRS),
+        *(F.avg(F.col(f"z{i}") * F.col(f"z{j}") / far).alias(f"d{i}_{j}") for i, j in PAIRS),
+    )
+    params = cut(few(start.join(gathered(signs, n), keys), n).mapInPandas(begun, schema))
+
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            taken = pdf["n"].to_numpy(float)[:, None]
+            mean = np.stack([pdf[f"a{i}"] for i in range(P)], axis=1) / taken
+            spread = square(pdf, "b") / taken[..., None] - mean[:, :, None] * mean[:, None, :]
+            yield pd.DataFrame({k: pdf[k] for k in [*keys, "rows", "start"]} | pooled(pdf["rows"].to_numpy(float), mean, spread * factor, pdf))
+
     for _ in range(STEPS if n else 0):
-        near = rows.join(small(params, n), keys).select(*keys, *z, *(f"u{i}" for i in range(p)), *(f"w{i}_{j}" for i, j in pairs))
-        bins = near.withColumn("bin", F.floor(F.log(distance(p) + 1e-9) * BINS)).groupBy(*keys, "bin").agg(
-            F.count("*").alias("n"),
-            *(F.sum(f"z{i}").alias(f"a{i}") for i in range(p)),
-            *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"b{i}_{j}") for i, j in pairs),
-        )
-        of = Window.partitionBy(*keys)
-        before = F.coalesce(F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inner = bins.withColumn("before", before).withColumn("all", F.sum("n").over(of)).where(F.col("before") < SUBSET * F.col("all"))
-        sums = inner.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(f"a{i}").alias(f"a{i}") for i in range(p)), *(F.sum(f"b{i}_{j}").alias(f"b{i}_{j}") for i, j in pairs))
-
-        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                mean = np.stack([pdf[f"a{i}"] / pdf["n"] for i in range(p)], axis=1)
-                spread = np.zeros((len(pdf), p, p))
-                for i, j in pairs:
-                    spread[:, i, j] = spread[:, j, i] = pdf[f"b{i}_{j}"] / pdf["n"] - mean[:, i] * mean[:, j]
-                inverse = np.linalg.inv(spread * factor + 0.05 * np.eye(p))
-                out = {k: pdf[k] for k in keys}
-                out |= {f"u{i}": mean[:, i] for i in range(p)} | {f"w{i}_{j}": inverse[:, i, j] for i, j in pairs}
-                yield pd.DataFrame(out)
-
-        schema = ", ".join([*(f"`{k}` string" for k in keys), *(f"u{i} double" for i in range(p)), *(f"w{i}_{j} double" for i, j in pairs)])
-        params = cut(start.join(sums.mapInPandas(solve, schema), keys))
-    return params, n
-
-
-def cut_offs(rows: DataFrame, by: list[str], share: float, least: int) -> tuple[DataFrame, int]:
-    """For each group the distance beyond which a row is an outlier, and the number of groups."""
-    p = len(STATISTICS)
-    middle, upper = quantile(p, 0.5), quantile(p, 0.75)
-    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(F.col("outlyingness") + 1e-9, [0.5, 0.75], 10_000).alias("q")).where(F.col("n") >= least)
-    stretch = F.greatest(F.lit(1.0), F.log(F.col("q")[1] / F.col("q")[0]) / math.log(upper / middle))
-    out = cut(found.select(*by, (F.col("q")[0] * F.pow(F.lit(quantile(p, share) / middle), stretch)).alias("cutoff")))
+        by = [*keys, "start"]
+        near = rows.join(small(params, 3 * n), keys).withColumn("bin", F.floor(F.log(distance() + 1e-9) * BINS))
+        sums = {"n": F.count("*").cast("double")} | {f"a{i}": F.sum(c) for i, c in enumerate(x)} | {f"b{i}_{j}": F.sum(F.col(x[i]) * F.col(x[j])) for i, j in PAIRS}
+        binned = gathered(near.groupBy(*by, "bin").agg(*(e.alias(c) for c, e in sums.items())), 3 * n * BINS * 20)
+        of = Window.partitionBy(*by)
+        upto, whole = F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(of)
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (SUBSET * F.col("whole") - F.col("upto")) / F.col("n") + 1))
+        inner = binned.withColumns({"upto": upto, "whole": whole}).withColumn("share", share).where("share > 0")
+        taken = inner.groupBy(*by).agg(*(F.sum(F.col(c) * F.col("share")).alias(c) for c in sums))
+        params = cut(few(taken, 3 * n).join(start.select(*keys, *(c for c in carried if c == "rows" or c.startswith("p"))), keys).mapInPandas(solved, schema))
+    best = params.groupBy(*keys).agg(F.min_by(F.struct("rows", *MEANS, *COVARIANCES, *PRECISIONS), F.struct("size", "start")).alias("best"))
+    return cut(few(best.select(*keys, "best.*"), n)), n
+
+
+def cut_offs(rows: DataFrame, share: float) -> tuple[DataFrame, int]:
+    """For each language the distance beyond which a row is an outlier, and their number."""
+    middle, upper = quantile(P, 0.5), quantile(P, 0.75)
+    logs = [F.log(F.percentile_approx(F.col("outlyingness") + 1e-9, q, 10_000)) for q in (0.5, 0.75)]
+    whole = rows.groupBy("_whole").agg(logs[0].alias("all2"), logs[1].alias("all3"))
+    each = rows.groupBy("_whole", "_lang").agg(F.count("*").alias("n"), logs[0].alias("q2"), logs[1].alias("q3")).join(whole, "_whole")
+    part = F.col("n") / (F.col("n") + PRIOR)
+    both = each.select("_lang", *((part * F.col(f"q{k}") + (1 - part) * F.col(f"all{k}")).alias(f"q{k}") for k in (2, 3)))
+    stretch = F.greatest(F.lit(1.0), (F.col("q3") - F.col("q2")) / math.log(upper / middle))
+    out = cut(both.select("_lang", F.exp(F.col("q2") + stretch * math.log(quantile(P, share) / middle)).alias("cutoff")))
     return out, out.count()
 
 
-def outlying(rows: DataFrame, share: float = 0.9999, least: int = 60) -> DataFrame:
+def outlying(rows: DataFrame, share: float = 0.9999) -> DataFrame:
     """``rows`` (``_lang``, ``_source``, the statistics, ``base_failed``) with ``outlyingness``
-    (squared distance; null where no row passes the base rules) and ``cutoff``."""
-    p = len(STATISTICS)
-    z = {f"z{i}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for i, c in enumerate(STATISTICS)}
-    levels = [(["_lang", "_source"], least), (["_lang"], least), (["_whole"], 1)]
-    far = rows.withColumn("_whole", F.lit(""))
-    fit = far.where("NOT base_failed").select("_lang", "_source", "_whole", *STATISTICS)
-    for k, (by, few) in enumerate(levels):
-        params, n = mcd(fit.select(*by, *STATISTICS), by, few)
-        far = far.join(small(params, n), by, "left").withColumns(z).withColumn(f"_far{k}", distance(p)).drop(*(c for c in params.columns if c not in by), *z)
-    far = far.withColumn("outlyingness", F.coalesce(*(f"_far{k}" for k in range(len(levels)))))
-    judged = far.where("NOT base_failed")
-    for k, (by, few) in enumerate(levels[1:]):
-        limits, n = cut_offs(judged, by, share, few)
-        far = far.join(small(limits.withColumnRenamed("cutoff", f"_cut{k}"), n), by, "left")
-    return far.withColumn("cutoff", F.coalesce("_cut0", "_cut1"))
+    (squared distance; null where no row of the group passes the base rules) and ``cutoff``."""
+    rows = rows.withColumn("_whole", F.lit(""))
+    fit = rows.where("NOT base_failed").select(*LEVELS[-1], *STATISTICS)
+    fit = few(fit, fit.count())
+    bins = written(narrow_bins(fit))
+    bins = few(bins, bins.count())
+    params, n = None, 0
+    for keys in LEVELS:
+        params, n = estimates(fit, bins, keys, params)
+    told = params.select(*LEVELS[-1], *MEANS, *PRECISIONS, (SUBSET * (F.col("rows") + PRIOR)).alias("_m"))
+    far = rows.join(small(told, n), LEVELS[-1], "left").withColumn("outlyingness", distance()).drop(*MEANS, *PRECISIONS)
+    limits, m = cut_offs(far.where("NOT base_failed"), share)
+    a, b = allowance(share)
+    return far.join(small(limits, m), "_lang", "left").withColumn("cutoff", F.col("cutoff") * (1 + a / F.col("_m") + b / F.col("_m") ** 2)).drop("_whole", "_m")
 
 
 def judge(docs: DataFrame, text: str = "text", share: float = 0.9999) -> DataFrame:
