@@ -1,27 +1,28 @@
 """URL filter over a memory-mapped sorted digest array.
 
-Entries (host, path, verdict) are stored as strings host + path in one file: their sorted
-64-bit xxhash keys, an offset each, and the strings. Every executor gets the file once and
-maps it. A URL's candidates are its host and each parent domain, each with the path cut to
-every length that an entry's path has; their keys are found by one vectorised binary search a
-batch, and a hit counts only if the stored string is the candidate's. The longest entry wins,
-a rule before a listed address of any length. A URL that meets no entry is allowed.
-
-The list is a parameter of the caller and read by the driver; beyond ``MOST_ENTRIES`` a list
-is refused, as it then belongs in a table to be joined.
+Entries (host, path, verdict) are stored as strings host + path in files: their sorted 64-bit
+xxhash keys, an offset each, and the strings; beside them the sorted keys of the hosts with the
+path lengths that each host's entries have. A URL's candidates are its host and each parent
+domain, each with the path cut to those lengths; hosts and candidates are found by one
+vectorised binary search a batch, and a hit counts only if the stored string is the candidate's.
+The longest entry wins, a rule before a listed address of any length. A URL that meets no entry
+is allowed.
+
+The rules are a short list of the caller's. The listed addresses may be a list or a table; a
+table of any size is dealt into slices of about ``SLICE_ENTRIES`` entries by the hash of the
+host, each of which the driver writes as a file and Spark ships once to every executor, where
+all workers map it.
 
 A host ends at the first ``/``, ``?`` or ``#`` behind ``://`` and is lower-cased (A-Z); the
 path goes on to ``?`` or ``#``. Null urls and those without ``://`` have neither, match
-nothing and are allowed. Repeated rows are judged alike. Extra columns are carried along,
-except those named as results.
+nothing and are allowed; urls of any length are judged whole. Entries that are null count as
+empty strings, repeated ones once. Repeated rows are judged alike, and a table without rows
+gives none. Extra columns are carried along, except those named as results.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoin.llm.common import guarded, read
+from quoin.llm.common import guarded, mapped, read, shipped
 
-MOST_ENTRIES = 5_000_000
+SLICE_ENTRIES = 1_000_000
+#: The seed of Spark's own xxhash64, and what of it deals entries out.
+SEED, LOW = 42, (1 << 63) - 1
 #: The rules (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Second-level names that stand for unwanted kinds of hosts, under each of the test domains.
@@ -41,60 +44,105 @@ LISTED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-w
 KINDS = ["allow", "block"]
 
 
-def store(entries: list[tuple[str, str, str, bool]], path: str) -> None:
-    """Write entries (host, path, verdict, is a rule) as the file that ``Digests`` maps."""
-    if len(entries) > MOST_ENTRIES:
-        raise ValueError(f"{len(entries)} entries; a list of more than {MOST_ENTRIES} should be a table")
-    rows = sorted((xxhash.xxh64_intdigest((host + rest).encode()), (host + rest).encode(), len(rest), KINDS.index(verdict), rule) for host, rest, verdict, rule in dict.fromkeys(entries))
-    with open(path, "wb") as file:
-        file.write(np.array([len(rows)], np.int64).tobytes())
-        file.write(np.array([r[0] for r in rows], np.uint64).tobytes())
-        file.write(np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.int64).tobytes())
-        file.write(np.array([r[2] * 4 + r[3] * 2 + r[4] for r in rows], np.int32).tobytes())
-        file.write(b"".join(r[1] for r in rows))
+def key(octets: bytes) -> int:
+    return xxhash.xxh64_intdigest(octets, SEED)
+
+
+def arrays(entries: Iterable[tuple[str, str, str, bool]]) -> dict[str, np.ndarray]:
+    """The arrays of one slice of entries (host, path, verdict, is a rule)."""
+    known = dict.fromkeys(entries)
+    rows = sorted((key((host + path).encode()), (host + path).encode(), KINDS.index(verdict), rule) for host, path, verdict, rule in known)
+    lengths: dict[int, set[int]] = {}
+    for host, path, *_ in known:
+        lengths.setdefault(key(host.encode()), set()).add(len(path))
+    hosts = sorted(lengths)
+    return {
+        "keys": np.array([r[0] for r in rows], np.uint64),
+        "ends": np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.int64),
+        "flags": np.array([r[2] * 2 + r[3] for r in rows], np.uint8),
+        "text": np.frombuffer(b"".join(r[1] for r in rows), np.uint8),
+        "hosts": np.array(hosts, np.uint64),
+        "host_ends": np.cumsum([0, *(len(lengths[h]) for h in hosts)], dtype=np.int64),
+        "lengths": np.array([n for h in hosts for n in sorted(lengths[h])], np.int32),
+    }
 
 
 class Digests:
-    """The mapped file: sorted keys, offsets, path length and verdict of each, strings."""
-
-    def __init__(self, path: str):
-        n = int(np.fromfile(path, np.int64, 1)[0])
-        at = 8
-        self.keys = np.memmap(path, np.uint64, "r", at, (n,)) if n else np.empty(0, np.uint64)
-        self.offsets = np.memmap(path, np.int64, "r", at + 8 * n, (n + 1,))
-        self.flags = np.memmap(path, np.int32, "r", at + 16 * n + 8, (n,)) if n else np.empty(0, np.int32)
-        text = at + 20 * n + 8
-        self.text = np.memmap(path, np.uint8, "r", text) if n else np.empty(0, np.uint8)
-        self.lengths = np.unique(np.asarray(self.flags) >> 2).tolist()
+    """One slice, over the arrays of ``arrays``."""
+
+    def __init__(self, of: dict[str, np.ndarray]):
+        self.__dict__.update(of)
+
+    def string(self, k: int) -> bytes:
+        return self.text[self.ends[k] : self.ends[k + 1]].tobytes()
+
+    def path_lengths(self, hosts: np.ndarray) -> list[list[int]]:
+        """The path lengths of the entries of each host key; none for an unknown host."""
+        at = np.minimum(np.searchsorted(self.hosts, hosts), max(len(self.hosts) - 1, 0))
+        out: list[list[int]] = [[] for _ in hosts]
+        for i in np.flatnonzero(self.hosts[at] == hosts) if len(self.hosts) else ():
+            out[i] = self.lengths[self.host_ends[at[i]] : self.host_ends[at[i] + 1]].tolist()
+        return out
 
     def probe(self, candidates: list[bytes]) -> np.ndarray:
         """The entry of each candidate, or -1. Entries of equal keys are tried one by one."""
-        found = np.fromiter(map(xxhash.xxh64_intdigest, candidates), np.uint64, len(candidates))
+        found = np.fromiter(map(key, candidates), np.uint64, len(candidates))
         at = np.searchsorted(self.keys, found)
         out = np.full(len(found), -1, np.int64)
-        for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == found) if len(self.keys) else []):
+        for i in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == found) if len(self.keys) else ():
             k = int(at[i])
             while k < len(self.keys) and self.keys[k] == found[i]:
-                if self.text[self.offsets[k] : self.offsets[k + 1]].tobytes() == candidates[i]:
-                    out[i] = k
-                    break
+                if self.string(k) == candidates[i]:
+                    out[i] = max(out[i], k)  # of equal strings the last: block after allow, a rule after a listed one
                 k += 1
         return out
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    labels = host.split(".") if host else []
-    cut = [path[:n].encode() for n in lengths if n <= len(path)]
-    return [".".join(labels[i:]).encode() + p for i in range(len(labels)) for p in cut]
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: list[str], url: str = "url") -> DataFrame:
+def verdicts(slices: list[Digests], hosts: list[str], paths: list[str]) -> Iterator[tuple[str | None, str]]:
+    """Rule, or none, and verdict of each url."""
+    names, owner = [], []
+    for i, host in enumerate(hosts):
+        labels = host.split(".") if host else []
+        names += [".".join(labels[j:]).encode() for j in range(len(labels))]
+        owner += [i] * len(labels)
+    keys = np.fromiter(map(key, names), np.uint64, len(names))
+    of = (keys & np.uint64(LOW)) % np.uint64(len(slices))
+    best: dict[int, tuple[tuple, str | None]] = {}
+    for s, digests in enumerate(slices):
+        mine = np.flatnonzero(of == s)
+        probes, whose = [], []
+        for m, lengths in zip(mine.tolist(), digests.path_lengths(keys[mine])):
+            path = paths[owner[m]]
+            cut = [names[m] + path[:n].encode() for n in lengths if n <= len(path)]
+            probes += cut
+            whose += [owner[m]] * len(cut)
+        for i, k in zip(whose, digests.probe(probes).tolist()):
+            if k >= 0:
+                flag, text = int(digests.flags[k]), digests.string(k)
+                found = ((flag & 1, len(text), flag), text.decode() if flag & 1 else None)
+                best[i] = max(best.get(i, found), found, key=lambda x: x[0])
+    for i in range(len(hosts)):
+        rank, rule = best.get(i, ((0, 0, 0), None))
+        yield rule, KINDS[rank[2] >> 1]
+
+
+def entry_table(spark: SparkSession, rules: list[tuple[str, str, str]], listed: DataFrame | list[str]) -> DataFrame:
+    """(host, path, verdict, rule) of the rules and of what is listed: a list of hosts to block,
+    or a table with the columns host, path and verdict."""
+    schema = "host string, path string, verdict string, rule boolean"
+    if not isinstance(listed, DataFrame):
+        return spark.createDataFrame([(*r, True) for r in rules] + [(host, "", "block", False) for host in listed], schema)
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return spark.createDataFrame([(*r, True) for r in rules], schema).union(listed.select(empty("host"), empty("path"), "verdict", F.lit(False).alias("rule")))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame | list[str], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (null without one) and verdict (allow or block)."""
-    entries = [(host, path, verdict, True) for host, path, verdict in rules] + [(host, "", "block", False) for host in listed]
-    name = f"quoin-urls-{uuid.uuid4().hex}"
-    local = os.path.join(tempfile.mkdtemp(), name)
-    store(entries, local)
-    pages.sparkSession.sparkContext.addFile(local)
+    spark = pages.sparkSession
+    table = entry_table(spark, rules, listed)
+    slices = max(1, -(-table.count() // SLICE_ENTRIES))
+    dealt = F.xxhash64("host").bitwiseAND(F.lit(LOW)) % slices
+    names = [shipped(spark, arrays(tuple(r) for r in table.where(dealt == k).collect())) for k in range(slices)]
 
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,26 +152,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: list[str]
     frame = pages.select(*own, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = Digests(SparkFiles.get(name))
+        digests = [Digests(mapped(SparkFiles.get(name))) for name in names]
         for batch in batches:
-            hosts, paths = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
-            probes, owner = [], []
-            for i, (h, p) in enumerate(zip(hosts, paths)):
-                found = candidates(h, p, digests.lengths)
-                probes += found
-                owner += [i] * len(found)
-            best: dict[int, tuple[bool, int, int]] = {}
-            for i, k in zip(owner, digests.probe(probes).tolist()):
-                if k >= 0:
-                    rank = (bool(digests.flags[k] & 1), int(digests.offsets[k + 1] - digests.offsets[k]), k)
-                    best[i] = max(best.get(i, rank), rank)
-            rule, verdict = [], []
-            for i in range(batch.num_rows):
-                is_rule, _, k = best.get(i, (False, 0, -1))
-                text = digests.text[digests.offsets[k] : digests.offsets[k + 1]].tobytes().decode() if is_rule else None
-                rule.append(text)
-                verdict.append("allow" if k < 0 else KINDS[(int(digests.flags[k]) >> 1) & 1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*keep, "host", "path", "rule", "verdict"])
+            found = list(verdicts(digests, *(batch.column(len(keep) + i).to_pylist() for i in range(2))))
+            rule, verdict = (pa.array([x[i] for x in found], pa.string()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[*keep, "host", "path", "rule", "verdict"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
     judged = frame.mapInArrow(run, f"{types}, rule string, verdict string")
