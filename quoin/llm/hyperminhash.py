@@ -45,6 +45,8 @@ BUCKETS = 1 << BUCKET_BITS
 BAND_ROWS, BANDS = 6, 42
 #: Nodes that one task compares; a larger cluster is dealt out in blocks of about half.
 CLUSTER_NODES = 1_000
+#: Tasks that the ids of one cluster are dealt to where they meet what is known of it.
+SALTS = 64
 PROBES = 64
 CACHED_WORDS = 1_000_000
 
@@ -190,16 +192,22 @@ def sketched(docs: DataFrame, text: str, words: int) -> DataFrame:
     return per_text(docs.select("doc_id", text_or_empty(text).alias("_text")), "_text", make, fields, "n_shingles long, digest binary, bands array<long>")
 
 
+def told(nodes: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    """``nodes`` (cluster, node and more) joined with ``side``, a row for some clusters. A large
+    cluster's nodes are dealt to ``SALTS`` tasks, as its one row is copied to them."""
+    salted = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    copies = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["cluster", "salt"], how).drop("salt")
+
+
 def dealt_out(clusters: DataFrame) -> DataFrame:
     """(node, cluster) with the number of blocks of the cluster and the node's blocks: one, or
     all of them for the two hubs of a large cluster."""
     hashed = F.struct(F.xxhash64("node"), "node")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min(hashed).alias("hub1"), F.max(hashed).alias("hub2"))
-    sized = clusters.join(sizes.select("cluster", "n", F.col("hub1.node").alias("hub1"), F.col("hub2.node").alias("hub2")), "cluster")
-    many = F.when(F.col("n") > CLUSTER_NODES, F.ceil(F.col("n") / (CLUSTER_NODES // 2))).otherwise(1).cast("int")
-    hub = F.col("node").isin(F.col("hub1"), F.col("hub2"))
-    own = F.when(hub, F.expr("sequence(0, blocks - 1)")).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    return sized.withColumn("blocks", many).select("node", "cluster", "blocks", own.alias("own"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.min(hashed).alias("hub1"), F.max(hashed).alias("hub2")).where(F.col("n") > CLUSTER_NODES)
+    large = sizes.select("cluster", F.ceil(F.col("n") / (CLUSTER_NODES // 2)).cast("int").alias("blocks"), F.array("hub1.node", "hub2.node").alias("hubs"))
+    own = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.array_contains("hubs", F.col("node")), F.expr("sequence(0, blocks - 1)")).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    return told(clusters, large, "left").select("node", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"), own.alias("own"))
 
 
 def node_sets(docs: DataFrame, text: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -254,7 +262,7 @@ def cluster_links(sets: DataFrame, percent: int) -> DataFrame:
     by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("m"))
     # the largest component of a cluster has no queries: a link to it has one at its other end
     chief = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("m", "label")).alias("chief"), F.sum("m").alias("all"), F.max("m").alias("most"))
-    asked = rest.select("node", "hashes").join(labelled.join(chief.where("most < all"), "cluster"), "node")
+    asked = rest.select("node", "hashes").join(told(labelled, chief.where("most < all"), "inner"), "node")
     query = F.col("label") != F.col("chief")
     q_blocks, t_blocks = F.ceil((F.col("all") - F.col("most")) / half).cast("int"), F.ceil(F.col("all") / half).cast("int")
     spread = asked.select("cluster", "node", "hashes", "label", query.alias("is_query"), q_blocks.alias("qs"), t_blocks.alias("ts"), F.xxhash64("node").alias("h"))
