@@ -84,7 +84,7 @@ def per_text(
     fields: list[tuple[str, pa.DataType]],
     schema: str,
     many: bool = False,
-    step_chars: int = 4_000_000,
+    step_chars: int = 1_000_000,
     together: bool = False,
 ) -> DataFrame:
     """Apply a small per-text function to a string column, in Arrow batches.

@@ -48,7 +48,7 @@ CLUSTER_NODES = 1_000
 #: Tasks that the ids of one cluster are dealt to where they meet what is known of it.
 SALTS = 64
 PROBES = 64
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S27, S30, S31 = np.uint64(27), np.uint64(30), np.uint64(31)

@@ -35,7 +35,7 @@ FIT_ROWS, FIT_PASSAGES = 3_000, 16
 ENCODED, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 12, 8, 40, 200, 0.01, 1e-3
 #: Hash buckets of words, and of pairs of words.
 BUCKETS = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
