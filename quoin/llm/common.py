@@ -23,12 +23,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder, reread: cuts lineage and serves
-    several readers that want different columns."""
+    several readers that want different columns. ``options`` are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quoin-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

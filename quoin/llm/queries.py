@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quoin.llm import bpe, hyperminhash, leaks, licenses, lines, outliers, quality, secrets, urls, warc
+from quoin.llm import bpe, hyperminhash, leaks, licenses, lines, outliers, quality, repair, secrets, tokenfiles, trie, urls, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op10_leaks": leaks.op10_leaks,
+    "op11_repair": repair.op11_repair,
+    "op12_token_files": tokenfiles.op12_token_files,
+    "op13_prefix_trie": trie.op13_prefix_trie,
     "op2_secrets": secrets.op2_secrets,
     "op3_warc": warc.op3_warc,
     "op4_bpe": bpe.op4_bpe,
@@ -23,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op9_hyperminhash": hyperminhash.OP9_SQL,
     "op1_line_dedup": lines.OP1_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }

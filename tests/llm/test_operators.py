@@ -741,7 +741,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     frame = QUERIES[name](spark, sf_dir)
     columns = sorted(frame.columns)
