@@ -9,8 +9,8 @@ The vocabulary is a ``tokenizers`` JSON file of kind BPE with an end-of-word suf
 driver reads it (a file of fixed size, about 2 MB) and broadcasts its tables.
 
 Null text counts as empty; an empty text has no ids and decodes to the empty string. Texts
-of any length are encoded whole. Repeated rows give repeated results. Columns beside the
-text are carried along; a column named ``ids`` or ``decoded`` is replaced.
+of any length are encoded whole. Repeated rows give repeated results, a table without rows none.
+Columns beside the text are carried along; a column named ``ids`` or ``decoded`` is replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ WORDS = r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
 #: The same pattern and its letters for texts of ASCII and the letters of Latin-1 only.
 BEYOND_PLAIN = r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]"
 PLAIN_WORDS = r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+"
+#: What a file must state for ``WORDS`` and the normalising below to be its own.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
 PAIR_BITS, PLACE_BITS = 32, 40
 PLACES = (1 << PLACE_BITS) - 1
 #: Words kept ready in a task; when so many are held, they are forgotten and gathered anew.
@@ -51,6 +54,10 @@ def load(path: str) -> dict:
     ids is keyed by one integer, the left id in the high part."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    normalisers = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if split.get("pattern", {}).get("Regex") != PATTERN or normalisers != NORMALISERS:
+        raise ValueError(f"{path} parts or normalises texts otherwise than is done here")
     model = spec["model"]
     ids = model["vocab"]
     merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]

@@ -26,7 +26,9 @@ gives files without blocks, and no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.bpe import vocabulary
+from quoin.llm.bpe import PATTERN, vocabulary
 from quoin.llm.common import read as table
 from quoin.llm.common import text_or_empty, written
 from quoin.session import shared_folder
@@ -46,10 +48,15 @@ END_ID = 1
 #: Ids of a file and of a block; a longer document is a block, or a file, by itself.
 FILE_IDS, BLOCK_IDS = 8_000_000, 500_000
 #: Characters that a task encodes at once.
-STEP_CHARS = 8_000_000
+STEP_CHARS = 4_000_000
 #: Pieces of text kept with their ids in a worker; when so many are held they are dropped.
-KEPT = 600_000
-BLANKS = r"[ \t-\r]+"
+KEPT = 1_000_000
+#: Words that the library is given at once.
+TOGETHER = 100
+#: The library's pattern for lower-case letters of ASCII and Latin-1, and what may be
+#: parted by it.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+"
+PLAIN = r"[!-~À-ÖØ-öø-ÿ]"
 MAGIC, MARK = b"QTK1", "\nQEND\n"
 HEADER = struct.Struct("<4sBxxxIQQ")
 
@@ -58,10 +65,11 @@ HEADER = struct.Struct("<4sBxxxIQQ")
 
 
 class Encoder:
-    """The library's ids for texts. White space parts what the library sees, so each piece
-    between blanks is given to it once and remembered; pieces are joined by a figure that stands
-    alone, whose id tells where one piece's ids end. Pieces that hold that figure or a special
-    token are given by themselves."""
+    """The library's ids for texts. White space parts what the library sees, so what lies between
+    blanks is given to it once and remembered. What has letters of Latin-1 and ASCII only is
+    parted further, by the library's own pattern, to words, figures and signs: each ends in one
+    token that ends a word, which tells one word's ids from the next when many are given at once.
+    Anything else, and what holds a special token, is given piece by piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -70,56 +78,80 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        suffix = self.library.model.end_of_word_suffix
+        vocabulary = self.library.get_vocab()
         self.wide = self.library.get_vocab_size() > 1 << 16
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.between = self.ids_of("0")
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[k for name, k in vocabulary.items() if suffix and name.endswith(suffix)]] = True
+        self.special = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "$^"
+        # a vocabulary that does not end words so, or parts them otherwise, is used piece by piece
+        state = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else {}
+        pattern = (state.get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        letters = [chr(c) for c in range(33, 256) if re.match(PLAIN, chr(c))]
+        self.plain = PLAIN if pattern == PATTERN and all(self.ends[self.ids_of([c])[0][-1]] for c in letters) else "$^"
         self.forget()
 
-    def ids_of(self, text: str) -> list[int]:
-        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
-    def learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if p and "0" not in p and not any(s in p for s in self.special)] if len(self.between) == 1 else []
-        single = set(plain)
-        found: list[np.ndarray] = []
-        for k in range(0, len(plain), 10_000):
-            part = plain[k : k + 10_000]
-            ids = np.array(self.ids_of(" 0 ".join(part)), np.uint32)
-            at = np.flatnonzero(ids == self.between[0])
-            if len(at) != len(part) - 1:
-                raise AssertionError("the library did not part pieces at blanks")
-            found += np.split(ids[np.delete(np.arange(len(ids)), at)], at - np.arange(len(at)))
-        rest = [p for p in pieces if p not in single]
-        found += [np.array(self.ids_of(p), np.uint32) for p in rest]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+    def remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.starts)
-        self.known.update(zip(plain + rest, range(first, first + len(found))))
+        self.known.update(zip(pieces, range(first, first + len(pieces))))
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
         self.sizes = np.r_[self.sizes, sizes]
-        self.flat = np.concatenate([self.flat, *found])
+        self.flat = np.r_[self.flat, ids]
+
+    def places(self, pieces: list[str], words: bool) -> np.ndarray:
+        """Where what is known of each piece stands; unknown ones are learnt."""
+        new = [p for p in pieces if p not in self.known]
+        if new and words:
+            ids = np.concatenate(self.ids_of([" ".join(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)]))
+            sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(sizes) != len(new):
+                raise AssertionError("the library parted words otherwise")
+            self.remember(new, ids, sizes)
+        elif new:
+            found = self.ids_of(new)
+            self.remember(new, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, an end id behind each, and how many each text has."""
-        lists = pc.split_pattern_regex(texts, BLANKS)
-        words = pc.dictionary_encode(lists.flatten())
-        pieces = words.dictionary.to_pylist()
         if len(self.known) > KEPT:
             self.forget()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            self.learn(new)
-        of = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[words.indices.to_numpy(zero_copy_only=False)]
-        size = self.sizes[of]
-        ends = np.r_[0, np.cumsum(size)]
-        bounds = ends[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
-        counts = np.diff(np.r_[0, bounds]) + 1
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[of], size)
-        return np.insert(self.flat[at], bounds, END_ID), counts
+        array = lambda x: x.to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(texts)
+        met = pc.dictionary_encode(lists.flatten())
+        pieces = met.dictionary
+        plain = pc.and_(pc.match_substring_regex(pieces, f"^(?:{PLAIN})+$" if self.plain == PLAIN else "$^x"), pc.invert(pc.match_substring_regex(pieces, self.special)))
+        parted = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(pc.utf8_lower(pieces.filter(plain)), f"({WORDS})", r"\1 ")))
+        words = pc.dictionary_encode(parted.flatten())
+        # each piece is some words, or known by itself
+        mask = array(plain)
+        count = np.ones(len(pieces), np.int64)
+        count[mask] = array(pc.list_value_length(parted))
+        by_word = np.repeat(mask, count)
+        at = np.empty(len(by_word), np.int64)
+        at[by_word] = self.places(words.dictionary.to_pylist(), True)[array(words.indices)]
+        at[~by_word] = self.places(pieces.filter(pc.invert(plain)).to_pylist(), False)
+        flat, sizes = gathered(self.flat, self.starts[at], self.sizes[at])
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(count)]
+        starts = np.r_[0, ends[:-1]]
+        of = array(met.indices)
+        ids, sizes = gathered(flat, starts[of], (ends - starts)[of])
+        bounds = np.r_[0, np.cumsum(sizes)][np.cumsum(array(pc.list_value_length(lists)))]
+        return np.insert(ids, bounds, END_ID), np.diff(bounds, prepend=0) + 1
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``flat`` one behind the other, and their sizes."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)], sizes
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -163,14 +195,19 @@ def width_table(bits: int) -> np.ndarray:
 def pack(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """Control and data bytes of ranks."""
     ranks = ranks.astype("<u4")
-    width = 1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    width = 1 + sum((ranks >= 1 << 8 * k).astype(np.uint8) for k in range(1, 4))
     if bits == 1 and width.size and width.max() > 2:
         raise ValueError("a rank of more than two bytes needs two control bits")
     codes = np.zeros(-(-len(ranks) // (8 // bits)) * (8 // bits), np.uint8)
     codes[: len(ranks)] = width - 1
     control = (codes.reshape(-1, 8 // bits) << np.arange(0, 8, bits, dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    octets = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), octets[np.arange(4) < width[:, None]].tobytes()
+    start = np.cumsum(width) - width
+    data = np.empty(int(width.sum()), np.uint8)
+    data[start] = ranks & 255
+    for k in range(1, 1 << bits):
+        more = np.flatnonzero(width > k)
+        data[start[more] + k] = ranks[more] >> np.uint32(8 * k) & 255
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -214,17 +251,24 @@ def blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 # ── writing and reading ────────────────────────────────────────────────────
 
 
+def joined(blobs: pa.Array, wide: bool) -> np.ndarray:
+    """The ids of all ``blobs``, one behind the other as they lie in the array."""
+    if not len(blobs):
+        return np.empty(0, np.uint32)
+    ends = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, 4 * blobs.offset)
+    return np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4" if wide else "<u2")
+
+
 def counted(rows: DataFrame, wide: bool) -> DataFrame:
     """(id, n): how often each id occurs. A task gives one row for each id it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0):
-                found = np.bincount(np.frombuffer(blob.as_buffer(), "<u4" if wide else "<u2"))
-                if len(found) > len(total):
-                    total = np.r_[total, np.zeros(len(found) - len(total), np.int64)]
-                total[: len(found)] += found
+            found = np.bincount(joined(batch.column(0), wide))
+            if len(found) > len(total):
+                total = np.r_[total, np.zeros(len(found) - len(total), np.int64)]
+            total[: len(found)] += found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
@@ -249,22 +293,29 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text") -> Non
     ranks = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def made() -> pa.RecordBatch:
-            ids = np.concatenate([np.frombuffer(blob.as_buffer(), "<u4" if wide else "<u2") for _, blob in held])
-            counts = np.array([len(blob.as_buffer()) // (4 if wide else 2) for _, blob in held])
-            one = block(pa.array([d.as_py() for d, _ in held], pa.int64()), counts, ranks.value[ids], bits)
+            doc_ids, counts, ids = (x for x in zip(*held))
+            one = block(pa.concat_arrays(doc_ids), np.concatenate(counts), ranks.value[np.concatenate(ids)], bits)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([one], pa.binary())], names=["block"])
 
         for batch in batches:
-            for doc_id, n, blob in zip(batch.column(0), batch.column(1), batch.column(2)):
-                if held and size + n.as_py() > BLOCK_IDS:
+            counts, ids = batch.column(1).to_numpy(), joined(batch.column(2), wide)
+            ends = np.cumsum(counts)
+            at = 0
+            while at < batch.num_rows:
+                # as many rows as a block has room for, one at least
+                room = BLOCK_IDS - sum(len(x[2]) for x in held)
+                before = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, before + room, "right"))
+                if to <= at and held:
                     yield made()
-                    held, size = [], 0
-                held.append((doc_id, blob))
-                size += n.as_py()
+                    continue
+                to = max(to, at + 1)
+                held.append((batch.column(0).slice(at, to - at), counts[at:to], ids[before : int(ends[to - 1])]))
+                at = to
         if held:
             yield made()
 
