@@ -64,7 +64,7 @@ def newest(jobs: DataFrame, most: int) -> DataFrame:
 def dashboard_jobs(jobs: DataFrame, feedback: DataFrame, corrections: DataFrame, most: int = 200) -> DataFrame:
     """The newest jobs with what was rejected and not located. Only the rows of those jobs are
     counted: their ids, ``most`` at most, are broadcast."""
-    top = newest(jobs, most)
+    top = cut(newest(jobs, most))
     ids = F.broadcast(top.select(F.col("id").alias("job_id")))
     rows = top.join(counted(feedback.join(ids, "job_id", "left_semi"), "job_id", name="fp"), F.col("id") == F.col("job_id"), "left").drop("job_id")
     rows = rows.join(counted(corrections.where("NOT located").join(ids, "job_id", "left_semi"), "job_id", name="un"), F.col("id") == F.col("job_id"), "left")
@@ -84,6 +84,13 @@ def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole * 100, 1)).otherwise(0.0)
 
 
+def pass_outputs(corrections: DataFrame) -> DataFrame:
+    """Rows of each job by the pass that gives them (two of them give A to C): a row is read once and
+    counted for every pass of its category."""
+    stages = F.array_compact(F.array(*(F.when(F.col("category").isin(list(c)), k) for k, c in enumerate(("ABCD", "ABC", "EFG", "H"), 1))))
+    return counted(corrections.select("job_id", F.explode(stages).alias("stage")), "job_id", "stage")
+
+
 def share_of_total(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2)).select(value, "n", "share")
 

@@ -6,10 +6,14 @@ page_number, category, original_text, corrected_text, description, explanation,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.functions.text import DIGITS, SUPERSCRIPTS, count_of, cut, folded, has_any, key, strip, words
+from quoin.functions.text import DIGITS, SUPERSCRIPTS, count_of, folded, has_any, key, strip, words
+from quoin.functions.text import cut as shortened
+from quoin.session import cut
 
 CATEGORIES = "ABCDEFGH"
 # Phrases and sentinels of the rules.
@@ -86,8 +90,8 @@ def parsed(raw: DataFrame, allowed: str) -> DataFrame:
         "category",
         F.coalesce("_one.a", "original_text").alias("original_text"),
         F.coalesce("_one.b", "corrected_text").alias("corrected_text"),
-        cut("description", 200).alias("description"),
-        cut("explanation", 1000).alias("explanation"),
+        shortened("description", 200).alias("description"),
+        shortened("explanation", 1000).alias("explanation"),
         F.substring(F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(DEFAULT_SOURCE)), 1, 300).alias("source"),
         F.when(F.col("confidence").isin(CONFIDENCES), F.col("confidence")).otherwise("Probable").alias("confidence"),
     )
@@ -208,16 +212,55 @@ def overlap(a: str, b: str) -> str:
     return f"least(length({a}), length({b})) >= {SHORTEST_OVERLAP} AND (contains({a}, {b}) OR contains({b}, {a}))"
 
 
+#: Buckets that grams are counted in, to tell rare ones; their counts are broadcast.
+GRAM_BUCKETS = 1 << 14
+ROW = ["job_id", "page_number", "position"]
+
+
+def containments(texts: DataFrame) -> DataFrame:
+    """Pairs of rows of a page (better and worse position) of which one's text lies in the other's.
+
+    A text is looked for by one of its grams of ``SHORTEST_OVERLAP`` characters, the rarest, in the
+    texts that have that gram; what is found is compared in full. How rare a gram is, is told by
+    counts in a fixed number of buckets, so any text has an anchor and none is lost. ``texts`` has
+    job_id, page_number, position, p (priority) and k (text)."""
+    every = F.transform(F.sequence(F.lit(1), F.length("k") - SHORTEST_OVERLAP + 1), lambda i: F.substring(F.col("k"), i, F.lit(SHORTEST_OVERLAP)))
+    grams = texts.where(F.length("k") >= SHORTEST_OVERLAP).withColumn("gram", F.explode(F.array_distinct(every)))
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)).cast("int")
+    counts = grams.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("met"))  # GRAM_BUCKETS rows at most
+    rarest = grams.withColumn("bucket", bucket).join(F.broadcast(counts), "bucket").groupBy(*ROW).agg(F.min(F.struct("met", "gram")).alias("a"), F.first("k").alias("short"), F.first("p").alias("ps"))
+    anchors = rarest.select("job_id", "page_number", F.col("a.gram").alias("gram"), F.col("position").alias("at"), "short", "ps")
+    met = grams.join(anchors, ["job_id", "page_number", "gram"]).where((F.length("k") > F.length("short")) & F.contains("k", F.col("short")))
+    first = F.struct(F.col("ps").alias("p"), F.col("at").alias("position")) < F.struct("p", "position")
+    return met.select("job_id", "page_number", F.when(first, F.col("at")).otherwise(F.col("position")).alias("better"), F.when(first, F.col("position")).otherwise(F.col("at")).alias("worse"))
+
+
+def dominated(pairs: DataFrame) -> DataFrame:
+    """The rows (job_id, page_number, position) that a kept row dominates. Rows that none of the
+    pairs left calls worse are kept; what they dominate goes with all its pairs, and so on until
+    no pair is left. A round settles at least the best row of every page that has pairs."""
+    page = ["job_id", "page_number"]
+    named = lambda frame, c: frame.select(*page, F.col(c).alias("position")).distinct()
+    left, gone = cut(pairs), []
+    while not left.isEmpty():
+        beaten = named(left, "worse")
+        marked = left.withColumnRenamed("better", "position").join(beaten.withColumn("open", F.lit(True)), ROW, "left")
+        drops = cut(named(marked.where("open IS NULL"), "worse"))
+        gone.append(drops)
+        rest = marked.where("open").withColumnRenamed("position", "better")
+        for c in ("better", "worse"):
+            rest = rest.join(drops.withColumnRenamed("position", c), [*page, c], "left_anti")
+        left = cut(rest.select(*page, "better", "worse"))
+    return reduce(DataFrame.union, gone, named(pairs.limit(0), "worse"))
+
+
 def undominated(rows: DataFrame) -> DataFrame:
     """Rows whose text neither holds nor lies in that of a better row kept on the same page.
-    The order matters: a dominated row dominates none. A page's rows are one array."""
-    rest = [c for c in rows.columns if c not in ("job_id", "page_number", "position")]
-    entry = F.struct(priority("category").alias("p"), "position", key("original_text").alias("k"), F.struct(*rest).alias("row"))
-    pages = rows.groupBy("job_id", "page_number").agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    none = "cast(array() AS array<struct<k: string, position: bigint>>)"
-    kept = F.expr(f"aggregate(all, {none}, (kept, x) -> IF(exists(kept, y -> {overlap('x.k', 'y.k')}), kept, concat(kept, array(named_struct('k', x.k, 'position', x.position)))))")
-    stay = pages.withColumn("kept", F.transform(kept, lambda x: x["position"])).select("job_id", "page_number", F.explode(F.expr("filter(all, x -> array_contains(kept, x.position))")).alias("x"))
-    return stay.select("job_id", "page_number", "x.position", "x.row.*")
+    The order matters: a dominated row dominates none. Pages of any size are dealt to tasks by
+    the grams of their texts and by their rows."""
+    rows = cut(rows)
+    texts = rows.select(*ROW, priority("category").alias("p"), key("original_text").alias("k"))
+    return rows.join(dominated(containments(texts)), ROW, "left_anti").select(*rows.columns)
 
 
 def capped(rows: DataFrame) -> DataFrame:
@@ -227,7 +270,7 @@ def capped(rows: DataFrame) -> DataFrame:
 
 
 def deduplicated(corrections: DataFrame) -> DataFrame:
-    """All four steps. Dealt out by page once, which the first three steps all keep to."""
+    """All four steps. Dealt out by page once, which the first two steps keep to."""
     dealt = corrections.repartition("job_id", "page_number")
     return capped(undominated(exactly_deduplicated(fuzzy_deduplicated(dealt))))
 

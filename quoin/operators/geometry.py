@@ -33,24 +33,47 @@ def phrase(text: str) -> Column:
     return F.transform(words(text), lambda w: F.lower(normalised(w)))
 
 
+def _starts(pages: DataFrame) -> DataFrame:
+    texts = pages.select("doc_id", F.col("page_num").alias("found_page"), phrase("text").alias("_words"))
+    return texts.select("doc_id", "found_page", "_words", F.posexplode("_words").alias("word_idx", "_first"))
+
+
+def _asked(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("_phrase", phrase("original_text")).where(F.size("_phrase") > 0).withColumn("_first", F.col("_phrase")[0])
+
+
+#: The words from a place on are those of the phrase.
+_SAME = "slice(_words, word_idx + 1, size(_phrase)) = _phrase"
+
+
 def matches(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Every place of a request's phrase in its document: an equi-join on document and first
     word, then the words behind it. The first place on each page is kept."""
-    texts = pages.select("doc_id", F.col("page_num").alias("found_page"), phrase("text").alias("_words"))
-    starts = texts.select("doc_id", "found_page", "_words", F.posexplode("_words").alias("word_idx", "_first"))
-    asked = requests.withColumn("_phrase", phrase("original_text")).where(F.size("_phrase") > 0).withColumn("_first", F.col("_phrase")[0])
-    met = asked.join(starts, ["doc_id", "_first"]).where(F.slice("_words", F.col("word_idx") + 1, F.size("_phrase")) == F.col("_phrase"))
+    met = _asked(requests).join(_starts(pages), ["doc_id", "_first"]).where(_SAME)
+    return met.groupBy("request_id", "doc_id", "page_num", "found_page").agg(F.min("word_idx").alias("word_idx"), F.first(F.size("_phrase")).alias("n"))
+
+
+def near_matches(requests: DataFrame, pages: DataFrame, band: int = BAND) -> DataFrame:
+    """The places of a request's phrase on other pages within ``band`` of its own, the first on each
+    page. An interval join: pages lie in bins as wide as the band, a request is dealt to the two
+    bins that its band can touch, so pages further off are never met."""
+    width = 2 * band + 1
+    bins = F.array_distinct(F.array(F.floor((F.col("page_num") - band) / width), F.floor((F.col("page_num") + band) / width)))
+    asked = _asked(requests).withColumn("_bin", F.explode(bins))
+    starts = _starts(pages).withColumn("_bin", F.floor(F.col("found_page") / width))
+    met = asked.join(starts, ["doc_id", "_first", "_bin"]).where(F.abs(F.col("found_page") - F.col("page_num")).between(1, band) & F.expr(_SAME))
     return met.groupBy("request_id", "doc_id", "page_num", "found_page").agg(F.min("word_idx").alias("word_idx"), F.first(F.size("_phrase")).alias("n"))
 
 
 def located(requests: DataFrame, pages: DataFrame, band: int = BAND) -> DataFrame:
     """The page and place of each request that is found: its own page, else the nearest pages
-    first to last within the band, else the whole document in order."""
+    first to last within the band, else the whole document in order. The best place so far is all
+    that is kept of a request as its places are met."""
     away = F.abs(F.col("found_page") - F.col("page_num"))
     rank = F.when(away == 0, 0).when(away <= band, 1).otherwise(2)
-    order = Window.partitionBy("request_id").orderBy("_rank", "found_page")
-    found = matches(requests, pages).withColumn("_rank", rank).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return found.select("request_id", "doc_id", "found_page", "word_idx", "n", F.col("_rank").alias("step"))
+    met = _asked(requests).join(_starts(pages), ["doc_id", "_first"]).where(_SAME)
+    best = F.min(F.struct(rank.alias("step"), "found_page", "word_idx", F.size("_phrase").alias("n")))
+    return met.groupBy("request_id", "doc_id").agg(best.alias("b")).select("request_id", "doc_id", "b.found_page", "b.word_idx", "b.n", "b.step")
 
 
 def rectangles(found: DataFrame, placed: DataFrame) -> DataFrame:

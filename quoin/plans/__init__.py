@@ -1,8 +1,9 @@
 """All queries over the editorial data model."""
 
-from quoin.plans import analytics, batching, corrections, items, lifecycle, mining  # noqa: F401
+from quoin.plans import analytics, batching, corrections, items, lifecycle, mining, tables  # noqa: F401
 from quoin.plans.registry import QUERIES, SQL
-from quoin.streaming import states
+from quoin.streaming import machines, states
 
-QUERIES.update(states.QUERIES)
-SQL.update(states.SQL)
+for streams in (states, machines):
+    QUERIES.update(streams.QUERIES)
+    SQL.update(streams.SQL)

@@ -66,7 +66,7 @@ query("c06_passes", ["jobs"], lambda j: j.select("id", F.arrays_overlap(cats(),
 query(
     "c07_union_of_passes",
     ["corrections"],
-    lambda c: c.where(F.col("category").isin(list("ABCD"))).withColumn("stage", F.lit(1)).unionByName(c.where(F.col("category").isin(list("ABC"))).withColumn("stage", F.lit(2))).unionByName(c.where(F.col("category").isin(list("EFG"))).withColumn("stage", F.lit(3))).unionByName(c.where("category = 'H'").withColumn("stage", F.lit(4))).groupBy("job_id", "stage").agg(F.count("*").alias("n")),
+    a.pass_outputs,
     "SELECT job_id, stage, count(*) AS n FROM (SELECT job_id, 1 AS stage FROM {corrections} WHERE category IN ('A', 'B', 'C', 'D') UNION ALL SELECT job_id, 2 FROM {corrections} WHERE category IN ('A', 'B', 'C') UNION ALL SELECT job_id, 3 FROM {corrections} WHERE category IN ('E', 'F', 'G') UNION ALL SELECT job_id, 4 FROM {corrections} WHERE category = 'H') GROUP BY ALL",
 )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions.text import MARKED, SUPERSCRIPTS, UNMARKED, key
 from quoin.operators import corrections as c
+from quoin.operators import replies
 from quoin.plans.mining import strip
 from quoin.plans.registry import QUERIES, SQL, query
 from quoin.session import shared_folder
@@ -35,7 +36,7 @@ ONE = f"CASE WHEN len({SPLIT('original_text')}) > 1 AND len({SPLIT('original_tex
 query("p08_only_change", ["corrections"], lambda r: r.withColumn("p", c.only_change("original_text", "corrected_text")).where("p IS NOT NULL").select("id", F.col("p.a").alias("original"), F.col("p.b").alias("corrected")), f"SELECT id, p[1] AS original, p[2] AS corrected FROM (SELECT id, {ONE} AS p FROM {{corrections}}) WHERE p IS NOT NULL")
 query("p09_confidence", ["raw"], lambda r: r.select("id", F.when(F.col("confidence").isin(c.CONFIDENCES), F.col("confidence")).otherwise("Probable").alias("confidence")), f"SELECT id, CASE WHEN confidence IN ({listed(c.CONFIDENCES)}) THEN confidence ELSE 'Probable' END AS confidence FROM {{raw}}")
 SOURCE = "substr(coalesce(nullif(source, ''), '" + c.DEFAULT_SOURCE.replace("'", "''") + "'), 1, 300)"
-query("p10_truncation", ["raw"], lambda r: r.select("id", c.cut("description", 200).alias("description"), c.cut("explanation", 1000).alias("explanation"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(c.DEFAULT_SOURCE)).alias("source")), f"SELECT id, substr(coalesce(description, ''), 1, 200) AS description, substr(coalesce(explanation, ''), 1, 1000) AS explanation, {SOURCE} AS source FROM {{raw}}")
+query("p10_truncation", ["raw"], lambda r: r.select("id", c.shortened("description", 200).alias("description"), c.shortened("explanation", 1000).alias("explanation"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit(c.DEFAULT_SOURCE)).alias("source")), f"SELECT id, substr(coalesce(description, ''), 1, 200) AS description, substr(coalesce(explanation, ''), 1, 1000) AS explanation, {SOURCE} AS source FROM {{raw}}")
 for name, allowed in (("p_parse_1a", "ABCD"), ("p_parse_all", "ABCDEFGH")):
     query(
         name,
@@ -145,3 +146,23 @@ query(
     lambda k: c.deduplicated(c.filtered(k)).groupBy("job_id", "category").agg(F.count("*").alias("n")).groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "category", F.col("n").cast("string")))), ",").alias("by_category"), F.sum("n").alias("total")),
     f"WITH RECURSIVE {ALL} SELECT job_id, string_agg(category || ':' || n, ',' ORDER BY category) AS by_category, sum(n)::BIGINT AS total FROM (SELECT job_id, category, count(*) AS n FROM d4 GROUP BY job_id, category) GROUP BY job_id",
 )
+
+# ── replies of a model, whole and broken ───────────────────────────────────
+
+SAID = "replace(replace(original_text, chr(92), ''), '\"', concat(chr(92), '\"'))"
+ITEM = f"concat('{{\"original\": \"', {SAID}, '\", \"category\": \"', category, '\", \"page_hint\": ', page_number + 1, '}}')"
+MESSAGE = lambda corrections, name="soumettre_corrections_pass1": f"concat('{{\"content\": [{{\"type\": \"text\", \"text\": \"voici [\"}}, {{\"type\": \"tool_use\", \"name\": \"{name}\", \"input\": {{\"corrections\": ', {corrections}, '}}}}], \"stop_reason\": \"tool_use\"}}')"
+WHOLE = MESSAGE(f"concat('[', {ITEM}, ', \"texte nu\", {{\"original\": \"second\", \"page_hint\": \" 7 \", \"confidence\": 3}}]')")
+MODEL_REPLY = f"""CASE seq % 11 WHEN 0 THEN {WHOLE} WHEN 1 THEN substr({WHOLE}, 1, length({WHOLE}) - 9) WHEN 2 THEN {MESSAGE(ITEM)} WHEN 3 THEN {MESSAGE("'[3, null, [], {\"original\": 5, \"category\": null}, {}]'")}
+  WHEN 4 THEN {MESSAGE(f"concat('[', {ITEM}, ']')", "autre_outil")} WHEN 5 THEN NULL WHEN 6 THEN {MESSAGE("'[{\"original\": \"un\", \"page_hint\": 2.9}, {\"original\": \"deux\", \"page_hint\": \"p. 3\"}]'")}
+  WHEN 7 THEN concat('{{\"content\": [3, {{\"type\": \"tool_use\", \"name\": \"soumettre_corrections_pass1\"}}, ', substr({WHOLE}, 14)) WHEN 8 THEN {MESSAGE(f"concat('[', {ITEM}, ', {{\"original\": \"caf', chr(92), 'u00e9 ', chr(92), '\"noir', chr(92), '\"\", \"corrected\": {{\"a\": 1}}}}]')")} WHEN 9 THEN '' ELSE '[1, 2' END"""
+query(
+    "p01_model_replies",
+    ["corrections"],
+    lambda k: replies.raw_corrections(k.select("id", F.expr(MODEL_REPLY).alias("reply"))).select("id", "original", "corrected", "category", "confidence", "page_hint"),
+    f"""WITH r AS (SELECT id, CASE WHEN json_valid(reply) THEN reply::JSON END AS j FROM (SELECT id, {MODEL_REPLY} AS reply FROM {{corrections}})),
+      b AS (SELECT id, unnest(json_extract(j, '$.content[*]')) AS b FROM r WHERE j IS NOT NULL),
+      e AS (SELECT id, unnest(json_extract(b, '$.input.corrections[*]')) AS e FROM b WHERE json_type(b) = 'OBJECT' AND b->>'$.type' = 'tool_use' AND b->>'$.name' = 'soumettre_corrections_pass1')
+      SELECT id, {', '.join(f"CASE WHEN json_type(e, '$.{c}') = 'VARCHAR' THEN e->>'$.{c}' END AS {c}" for c in ('original', 'corrected', 'category', 'confidence'))},
+        CASE WHEN json_type(e, '$.page_hint') <> 'VARCHAR' THEN trunc((e->>'$.page_hint')::DOUBLE)::INT WHEN regexp_matches(e->>'$.page_hint', '^\\s*[+-]?[0-9]+\\s*$') THEN trim(e->>'$.page_hint')::INT END AS page_hint FROM e WHERE json_type(e) = 'OBJECT'""",
+)

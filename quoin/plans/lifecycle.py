@@ -80,7 +80,7 @@ query("g09_failure_alert", ["requests", "manuscript"], lambda q, p: g.annotation
 split = lambda k: k.withColumn("place", F.row_number().over(Window.partitionBy("job_id", "located").orderBy("page_number", "seq"))).where(F.col("place") <= F.when(F.col("located"), 150).otherwise(100)).select("id", "located")
 query("g10_located_split", ["corrections"], split, "SELECT id, located FROM (SELECT *, row_number() OVER (PARTITION BY job_id, located ORDER BY page_number, seq) AS place FROM {corrections}) WHERE place <= CASE WHEN located THEN 150 ELSE 100 END")
 query("g11_page_overlay", ["corrections", "feedback"], lambda k, f: k.where("located").join(f, k["id"] == f["correction_id"], "left_anti").select("id", "page_number", "x0", "y0"), "SELECT k.id, k.page_number, k.x0, k.y0 FROM {corrections} k ANTI JOIN {feedback} f ON f.correction_id = k.id WHERE k.located")
-query("j12_band_join", ["requests", "manuscript"], lambda q, p: g.matches(q, p).where(F.abs(F.col("found_page") - F.col("page_num")).between(1, 4)).select("request_id", "found_page"), f"WITH {FOUND} SELECT request_id, found_page FROM met WHERE abs(found_page - page_num) BETWEEN 1 AND 4")
+query("j12_band_join", ["requests", "manuscript"], lambda q, p: g.near_matches(q, p).select("request_id", "found_page"), f"WITH {FOUND} SELECT request_id, found_page FROM met WHERE abs(found_page - page_num) BETWEEN 1 AND 4")
 query(
     "s02_font_filter",
     ["spans"],
@@ -122,6 +122,9 @@ query("s05_preview_page", ["corrections", "jobs"], lambda k, j: k.select("job_id
 query("s08_csv_lines", ["feedback"], lambda f: files.csv_lines(f.select("id", "category", "reason_code", "comment")), "SELECT concat_ws(',', id, category, coalesce(reason_code, ''), coalesce(comment, '')) AS line FROM {feedback}")
 query("s09_json_lines", ["feedback"], lambda f: f.select(F.to_json(F.struct("id", "category", "original_text")).alias("line")), "SELECT to_json({'id': id, 'category': category, 'original_text': original_text})::VARCHAR AS line FROM {feedback}")
 query("s10_upload_admission", ["pages"], lambda p: p.select("page_id", r.admitted(F.col("url"), F.substring("html", 1, 8), F.octet_length("html")).alias("refused")), "SELECT page_id, CASE WHEN NOT ends_with(lower(url), '.pdf') THEN 'extension' WHEN NOT starts_with(html, '%PDF') THEN 'magic' WHEN octet_length(encode(html)) > 52428800 THEN 'size' END AS refused FROM {pages}")
+# uploads of every kind: names, first bytes and sizes that each rule takes or refuses
+NAMED, HEAD, SIZE = "CASE page_id % 3 WHEN 0 THEN concat('ms ', page_id, '.pdf') WHEN 1 THEN concat('MS', page_id, '.PDF') ELSE url END", "CASE WHEN page_id % 4 = 0 THEN substr(html, 1, 8) ELSE '%PDF-1.7' END", "{size} * CASE WHEN page_id % 5 = 0 THEN 100000 ELSE 1 END"
+query("s10_upload_cases", ["pages"], lambda p: p.select("page_id", r.admitted(F.expr(NAMED), F.expr(HEAD), F.expr(SIZE.format(size="octet_length(html)").replace("100000", "100000L"))).alias("refused")), f"SELECT page_id, CASE WHEN NOT ends_with(lower(n), '.pdf') THEN 'extension' WHEN NOT starts_with(h, '%PDF') THEN 'magic' WHEN s > 52428800 THEN 'size' END AS refused FROM (SELECT page_id, {NAMED} AS n, {HEAD} AS h, {SIZE.format(size='octet_length(encode(html))')} AS s FROM {{pages}})")
 query("s12_schema_evolution", ["jobs"], lambda j: files.with_missing_columns(j.where("user_id % 2 = 0").select("id", "status"), j.where("user_id % 2 = 1").select("id", "status", "preset", "annotated_count"), {"preset": "complete", "annotated_count": 0}), "SELECT id, status, 'complete' AS preset, 0 AS annotated_count FROM {jobs} WHERE user_id % 2 = 0 UNION ALL SELECT id, status, preset, annotated_count FROM {jobs} WHERE user_id % 2 = 1")
 query("s13_clipboard", ["corrections"], lambda k: k.select("id", r.clipboard().alias("text")), f"SELECT id, concat_ws({NL}, 'p.' || (page_number + 1) || ' — ' || category || ' → ' || description, nullif(explanation, ''), CASE WHEN coalesce(corrected_text, '') <> '' THEN 'Correction : « ' || original_text || ' » → « ' || corrected_text || ' »' ELSE 'Texte : « ' || original_text || ' »' END) AS text FROM {{corrections}}")
 query("o08_summary_rows", ["corrections"], lambda k: k.select("job_id", "id", r.ascii_safe(F.col("original_text")).alias("shown"), F.row_number().over(Window.partitionBy("job_id").orderBy("category", "page_number", "seq")).alias("place")), f"SELECT job_id, id, {safe('original_text')} AS shown, row_number() OVER (PARTITION BY job_id ORDER BY category, page_number, seq) AS place FROM {{corrections}}")

@@ -6,14 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of text files whose pages end with a form feed, as PDF text extractors write them:
-    (path, page_num, text). One file is one row of the scan."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    pages = F.split(F.regexp_replace("value", "\f$", ""), "\f")
-    return files.select("path", F.posexplode(pages).alias("page_num", "text"))
-
-
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header and nulls as nothing, in parts."""
     text = rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns))

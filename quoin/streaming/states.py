@@ -37,6 +37,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     (complete mode: the last batch's) and reread."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/quoin-stream-{uuid.uuid4().hex}"
+    # the only state store that keeps timers and several states by key
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def put(batch: DataFrame, number: int) -> None:
         # a batch that is run again replaces what it wrote before

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import text as t
 from quoin.operators import batching, corrections, geometry, items, mining, report
-from quoin.sources import files
+from quoin.sources import files, page_files
 
 ROW = "job_id string, seq long, page_number int, category string, original_text string, corrected_text string, description string, explanation string, confidence string"
 
@@ -209,7 +209,7 @@ def test_summary_text(spark):
 
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.txt").write_text("page une\fpage deux\f")
-    pages = files.read_pages(spark, str(tmp_path / "a.txt"))
+    pages = page_files.read_pages(spark, str(tmp_path / "a.txt"))
     assert [(r.page_num, r.text) for r in pages.orderBy("page_num").collect()] == [(0, "page une"), (1, "page deux")]
     rows = spark.createDataFrame([(1, None, 'a "b", c')], "id int, note string, text string")
     files.write_csv(rows, str(tmp_path / "csv"))
