@@ -18,14 +18,16 @@ buckets borrow from others by a fixed sequence of probes, so short texts have fu
 4. In large clusters, nodes outside the largest component so far are then held, in blocks,
    against all nodes of their cluster, so no block boundary costs a link.
 
-A pair at the threshold is missed by all bands with a chance of about 5e-6, and by the
-estimate, which stands four standard errors below the threshold, with one of about 3e-5.
+A pair at the threshold is missed by all bands with a chance of about 5e-6. The estimate's cut
+stands four standard errors below the threshold, with the error of as many registers as the smaller
+set has filled, so of short texts every pair that meets is confirmed on the full sets.
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer words
 than a shingle is one shingle. Rows with a null doc_id are linked with nothing; their
-component is null and they are kept. Rows of one doc_id with unlike sets are one node with
+component is null; ``dedup`` keeps them. Rows of one doc_id with unlike sets are one node with
 several sets. A doc_id is an integer; other types are refused. Extra columns are not read by
-``groups``; ``dedup`` carries them along.
+``groups``; ``dedup`` carries them along. Texts of any length are read whole; a table without rows
+gives none.
 """
 
 from __future__ import annotations
@@ -128,6 +130,14 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (share - COLLISION) / (1 - COLLISION)
 
 
+def least(filled: np.ndarray, percent: int) -> np.ndarray:
+    """The estimate from which a pair may reach ``percent``. Empty buckets borrow, so an estimate is
+    worth as many registers as the smaller sketch has filled itself, and where that are few, also
+    how often each is borrowed varies: their variance counts twice."""
+    p = percent / 100
+    return p - 4 * np.sqrt((1 + (filled < BUCKETS)) * p * (1 - p) / np.maximum(filled, 1))
+
+
 def linked(sets: list[np.ndarray], labels: list, query: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Confirmed links between nodes of unlike labels that join what was not joined yet. Every
     pair with a query node that may reach ``percent`` is estimated."""
@@ -145,14 +155,15 @@ def linked(sets: list[np.ndarray], labels: list, query: np.ndarray, percent: int
     first: dict = {}
     for i, label in enumerate(labels):
         parent[i] = find(first.setdefault(label, i))
-    least = percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / BUCKETS)
+    filled = np.array([len(np.unique(s >> np.uint64(64 - BUCKET_BITS))) for s in sets])
     left, right, score = [], [], []
     for i in np.flatnonzero(query):
         other = np.arange(n) > i if query.all() else ~query | (np.arange(n) > i)
         other &= (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         j = np.flatnonzero(other)
         e = estimates(registers[i], registers[j])
-        j, e = j[e >= least], e[e >= least]
+        may = e >= least(np.minimum(filled[i], filled[j]), percent)
+        j, e = j[may], e[may]
         left.append(np.full(len(j), i))
         right.append(j)
         score.append(e)

@@ -323,6 +323,29 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, nodes):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_short_texts_at_the_threshold_lose_no_link(spark):
+    # sets of n and n - 1 shingles with 100 * (n - 1) >= 80 * n, from two words on
+    rows, want = [], {}
+    for k in range(300):
+        n = 6 + k % 35
+        words = [f"w{k}x{j}" for j in range(n)]
+        first, text = 2 * k, " ".join(words)
+        rows += [(first, text), (first + 1, " ".join(words[1:] if k % 2 else words[:-1]))]
+        want[first], want[first + 1] = first, first
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in hyperminhash.groups(frame, words=2).collect()}
+    assert got == want
+
+
+def test_linked_finds_what_full_sets_say():
+    rng = np.random.default_rng(4)
+    for n in [2, 3, 4, 5, 6, 8, 10, 11, 12, 15, 20, 40, 100] * 40:
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        other = one[: len(one) * 4 // 5] if rng.random() < 0.5 else np.sort(rng.permutation(one)[: len(one) * 4 // 5])
+        if len(other):
+            assert bool(hyperminhash.linked([one, other], [0, 1], np.ones(2, bool), 80)) == (100 * len(other) >= 80 * len(one))
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
