@@ -21,8 +21,9 @@ A place is (doc_id, hash of the row's text, line number), so rows of one doc_id
 texts are judged one by one, in the order of their hashes. Rows that repeat doc_id and text
 count as one: their lines stay or go together. Null and empty texts have one empty line, which
 stays. A row without doc_id is returned as it is and takes no part. A document keeps its row
-even if all its lines go; then its text is empty. Columns beside the text are carried along,
-but for those named as results.
+even if all its lines go; then its text is empty. Texts and lines of any length are judged whole;
+a table without rows gives none. Columns beside the text are carried along, but for those named as
+results.
 """
 
 from __future__ import annotations

@@ -30,7 +30,8 @@ algebra is done in Python, once a group, start and step.
 Null texts count as empty: no words. Null lang or source is a group of its own. Rows that fail
 the base rules stay out of the estimates; where a group has no others, they have no distance.
 Repeated rows are judged alike. Texts of any length are counted whole; from ``LONG`` words on
-the repeated windows are found by sorting numbers, in memory of some 50 bytes a word.
+the repeated windows are found by sorting numbers, in memory of some 50 bytes a word. A table
+without rows gives none. Columns beside the text are carried along, but for those named as results.
 """
 
 from __future__ import annotations
