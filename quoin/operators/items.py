@@ -77,16 +77,32 @@ def merged_items(hints: DataFrame, dates: DataFrame) -> DataFrame:
     return hints.unionByName(fresh)
 
 
+#: Items of each kind that are taken of a document: dates, names, titles.
+MOST_OF = {1: 20, 2: 15, 3: 10}
+STAGE_TYPES = {1: "date", 2: "proper_noun", 3: "title"}
+
+
 def fact_only_items(pages: DataFrame, most: int = 40) -> DataFrame:
-    """Items without any detector: 20 dates, then 15 names, then 10 titles, each text once."""
-    dates = m.first_dates(pages).where("seq <= 20").select("doc_id", F.lit(1).alias("stage"), F.col("seq").alias("nth"), F.col("date_text").alias("text"), F.substring("context", 1, 300).alias("context"), "page_num", F.lit("date").alias("item_type"))
-    named = m.names(pages).where("nth <= 15").select("doc_id", "name", "nth")
-    placed = m.first_page(pages, named, "name")
-    names = placed.select("doc_id", F.lit(2).alias("stage"), "nth", F.col("name").alias("text"), F.col("name").alias("context"), "page_num", F.lit("proper_noun").alias("item_type"))
-    titles = m.titles(pages).where("seq <= 10").select("doc_id", F.lit(3).alias("stage"), F.col("seq").alias("nth"), F.col("title").alias("text"), F.col("title").alias("context"), "page_num", F.lit("title").alias("item_type"))
-    rows = first_by(dates.unionByName(names).unionByName(titles).where("text <> ''"), ["doc_id", "text"], ["stage", "nth"])
-    ranked = rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("stage", "nth")))
-    return ranked.where(F.col("seq") <= most).drop("stage", "nth")
+    """Items without any detector: 20 dates, then 15 names, then 10 titles, each text once. Pages are
+    mined for all three at once and dealt by document once; names then look for their first page."""
+    stage = F.col("stage")
+    found = m.mined(pages).repartition("doc_id").where(F.when(stage == 2, m.valid_name(F.col("text"))).when(stage == 3, F.size(m.words("text")) >= 2).otherwise(True))
+    place = ["page_num", "kind", "nth"]
+    again = F.row_number().over(Window.partitionBy("doc_id", "stage", "text").orderBy(*place))
+    once = found.withColumn("_again", again).where((stage == 1) | (F.col("_again") == 1))
+    # names go by code point, dates and titles by place
+    ranked = once.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "stage").orderBy(F.when(stage == 2, F.col("text")), *place)))
+    taken = ranked.where(F.col("_nth") <= F.create_map(*(F.lit(x) for p in MOST_OF.items() for x in p))[stage]).where("text <> ''")
+    first = Window.partitionBy("doc_id", "text").orderBy("stage", "_nth")
+    unique = taken.withColumn("_first", F.row_number().over(first)).where("_first = 1")
+    listed = unique.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("stage", "_nth"))).where(F.col("seq") <= most)
+    # the first page that has a name as a whole, which the pattern need not have found there
+    asked = listed.where(stage == 2).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "text")).alias("names"))
+    met = pages.select("doc_id", "page_num", F.col("text").alias("_page")).join(asked, "doc_id")
+    at = met.select("doc_id", "page_num", F.explode(F.filter("names", lambda x: F.contains(F.col("_page"), x["text"]))).alias("x")).groupBy("doc_id", F.col("x.seq").alias("seq")).agg(F.min("page_num").alias("_found"))
+    rows = listed.join(at, ["doc_id", "seq"], "left")
+    item_type = F.create_map(*(F.lit(x) for p in STAGE_TYPES.items() for x in p))[stage]
+    return rows.select("doc_id", "text", "context", F.when(stage == 2, F.coalesce("_found", F.lit(0))).otherwise(F.col("page_num")).alias("page_num"), item_type.alias("item_type"), "seq")
 
 
 def prompt(items: DataFrame) -> DataFrame:

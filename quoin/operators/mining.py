@@ -79,6 +79,33 @@ def dates(pages: DataFrame) -> DataFrame:
     return every.select("doc_id", "page_num", "kind", "nth", bare.alias("date_text"), context.alias("context"))
 
 
+def mined(pages: DataFrame) -> DataFrame:
+    """Dates, names and titles in one pass: (doc_id, page_num, stage 1 to 3, kind, nth, text, context),
+    kinds in the order in which a page's are taken. Names are not yet tried for validity."""
+
+    def dated(kind: int, pattern: str) -> Column:
+        around = 80 if kind == 3 else 60
+
+        def one(hit: Column, nth: Column) -> Column:
+            first = F.greatest(F.lit(0), hit["start"] - around)
+            context = strip(F.replace(F.substring(F.col("text"), first + 1, hit["start"] + F.length(hit["hit"]) + around - first), F.lit("\n"), F.lit(" ")))
+            bare = F.regexp_replace(hit["hit"], r"[()]", "") if kind == 3 else strip(hit["hit"])
+            return told(1, kind, nth, bare, F.substring(context, 1, 300))
+
+        return F.transform(hits("text", pattern), one)
+
+    def told(stage: int, kind: int, nth: Column, text: Column, context: Column) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), nth.alias("nth"), text.alias("text"), context.alias("context"))
+
+    found = lambda pattern: F.expr(f"regexp_extract_all(text, {literal(pattern)}, 1)")
+    all_dates = [dated(k, p) for k, p in ((1, DATE_WITH_MONTH), (2, DATE_NUMERIC), (3, YEAR_ALONE))]
+    all_names = F.transform(found(PROPER_NOUN), lambda name, nth: told(2, 1, nth, name, name))
+    titled = lambda kind: lambda title, nth: told(3, kind, nth, strip(title), strip(title))
+    all_titles = [F.transform(found(p), titled(k)) for k, p in ((1, TITLE_QUOTED), (2, TITLE_MARKED))]
+    rows = pages.select("doc_id", "page_num", F.explode(F.flatten(F.array(*all_dates, all_names, *all_titles))).alias("hit"))
+    return rows.select("doc_id", "page_num", "hit.*")
+
+
 def first_dates(pages: DataFrame, most: int = MOST_DATES) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("page_num", "kind", "nth")
     return dates(pages).withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= most)
