@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +100,7 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of all corrections, and what each needle finds in it."""
     path = folder(spark)
     search.write_index(frame(spark, sf_dir, "corrections"), "id", SEARCHED, path)
-    return reduce(DataFrame.union, [search.find(spark, path, n).select(F.lit(n).alias("needle"), "id") for n in NEEDLES])
+    return search.find_all(spark, path, NEEDLES)
 
 
 QUERIES["o06_search_index"] = searched

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quoin.operators import geometry, mining
+from quoin.operators import geometry, mining, search
 from quoin.plans.mining import NOUN
 
 
@@ -45,3 +45,12 @@ def test_names_equal_their_sql_beside_letters_outside_the_class(spark):
     assert want[0] == ["Esra Au"]
     mined = mining.mined(pages).where("stage = 2").groupBy("doc_id").agg(F.count("*").alias("n"))
     assert {r.doc_id: r.n for r in mined.collect()} == {i: len(w) for i, w in enumerate(want) if w}
+
+
+def test_index_cuts_a_text_of_many_rows_once(spark, tmp_path):
+    rows = [(i, f"mot {i % 5}", "la même suite", None) for i in range(400)]
+    search.write_index(spark.createDataFrame(rows, "id long, one string, two string, three string"), "id", ["one", "two", "three"], str(tmp_path))
+    places = spark.read.parquet(f"{tmp_path}/grams").select(F.sum(F.size("places"))).first()[0]
+    assert places == 5 * len("mot 0") + len("la même suite")
+    found = {(r.needle, r.id) for r in search.find_all(spark, str(tmp_path), ["SUITE", "t 3", "mot 0m", ""]).collect()}
+    assert found == {("SUITE", i) for i in range(400)} | {("", i) for i in range(400)} | {("t 3", i) for i in range(3, 400, 5)}
