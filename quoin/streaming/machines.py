@@ -11,6 +11,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -38,6 +40,8 @@ FORGOTTEN = "forgotten"
 _STATE = "status string, since long, seen long, legal long, illegal long, timed_out long"
 #: Times are microseconds within the processors, whatever zone a session has.
 MICRO, MINUTE = dt.timedelta(microseconds=1), 60_000_000
+#: Answers that go out in one frame.
+ANSWERS = 100_000
 
 
 def due(status: str | None, since: int) -> int | None:
@@ -136,21 +140,31 @@ class Minutes(StatefulProcessor):
         self.made = handle.getMapState("made", "minute long", "n long")
         self.newest = handle.getValueState("newest", "minute long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frames = [(f["us"].to_numpy(np.int64), f["event_id"].to_numpy(np.int64)) for f in rows]
+        us, ids = (np.concatenate(c) for c in zip(*frames))
+        order = np.lexsort((ids, us))
+        us, ids = us[order], ids[order]
         newest = self.newest.get()[0] if self.newest.exists() else None
-        for row in sorted(rows, key=lambda r: (r.us, r.event_id)):
-            minute = row.us // MINUTE
-            late = newest is not None and minute <= newest - self.span
-            n = 1
-            if not late:
-                n += self.made.getValue((minute,))[0] if self.made.containsKey((minute,)) else 0
-                self.made.updateValue((minute,), (n,))
-                newest = minute if newest is None else max(newest, minute)
-            yield Row(event_id=row.event_id, client=key[0], us=row.us, late=late, **{f"{name}_accepted": not late and n <= most for name, most in self.limits.items()})
+        # in order of time, so only what earlier batches brought can be too far ahead of a request
+        minutes, first, where, counts = np.unique(us // MINUTE, return_index=True, return_inverse=True, return_counts=True)
+        past = np.zeros(len(minutes), bool) if newest is None else minutes <= newest - self.span
+        made = np.zeros(len(minutes), np.int64)
+        for k in np.flatnonzero(~past):
+            minute = (int(minutes[k]),)
+            made[k] = self.made.getValue(minute)[0] if self.made.containsKey(minute) else 0
+            self.made.updateValue(minute, (int(made[k] + counts[k]),))
+            newest = minute[0] if newest is None else max(newest, minute[0])
         self.newest.update((newest,))
         for (minute,) in list(self.made.keys()):
             if minute <= newest - self.span:
                 self.made.removeKey((minute,))
+        n = made[where] + np.arange(len(us)) - first[where] + 1
+        late = past[where]
+        for k in range(0, len(us), ANSWERS):
+            part = slice(k, k + ANSWERS)
+            told = {"event_id": ids[part], "client": pd.array([key[0]], "Int64").repeat(len(ids[part])), "us": us[part], "late": late[part]}
+            yield pd.DataFrame({**told, **{f"{name}_accepted": ~late[part] & (n[part] <= most) for name, most in self.limits.items()}})
 
     def close(self) -> None:
         pass
@@ -162,7 +176,7 @@ def decisions(requests: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame
     or more before its client's newest minute is late and refused. Every request is answered in the
     batch it comes with."""
     schema = "event_id long, client long, us long, late boolean, " + ", ".join(f"{name}_accepted boolean" for name in limits)
-    answers = micros(requests).groupBy("client").transformWithState(Minutes(limits), schema, outputMode="Append", timeMode="None")
+    answers = micros(requests).groupBy("client").transformWithStateInPandas(Minutes(limits), schema, outputMode="Append", timeMode="None")
     return answers.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 

@@ -2,11 +2,13 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quoin.operators import geometry, mining, search
 from quoin.plans.mining import NOUN
+from quoin.streaming import machines
 
 
 def test_phrase_search_sends_no_side_whole(spark, capsys):
@@ -54,3 +56,55 @@ def test_index_cuts_a_text_of_many_rows_once(spark, tmp_path):
     assert places == 5 * len("mot 0") + len("la même suite")
     found = {(r.needle, r.id) for r in search.find_all(spark, str(tmp_path), ["SUITE", "t 3", "mot 0m", ""]).collect()}
     assert found == {("SUITE", i) for i in range(400)} | {("", i) for i in range(400)} | {("t 3", i) for i in range(3, 400, 5)}
+
+
+def test_requests_of_a_client_are_judged_in_frames(monkeypatch):
+    class Held:
+        def __init__(self):
+            self.map, self.value = {}, None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def containsKey(self, key):  # noqa: N802
+            return key in self.map
+
+        def getValue(self, key):  # noqa: N802
+            return self.map[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.map[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            del self.map[key]
+
+        def keys(self):
+            return list(self.map)
+
+    monkeypatch.setattr(machines, "ANSWERS", 7)
+    rng = random.Random(1)
+    judge = machines.Minutes({"a": 2, "b": 4})
+    judge.made, judge.newest = Held(), Held()
+    made, newest, number = {}, None, 0
+    for begin in (100, 130, 60, 400):
+        batch = [((begin + rng.randrange(-20, 20)) * machines.MINUTE + rng.randrange(50), number + i) for i in range(60)]
+        number += 60
+        want = {}
+        for us, i in sorted(batch):
+            minute = us // machines.MINUTE
+            late = newest is not None and minute <= newest - 60
+            if not late:
+                made[minute] = made.get(minute, 0) + 1
+                newest = minute if newest is None else max(newest, minute)
+            want[i] = (late, not late and made[minute] <= 2, not late and made[minute] <= 4)
+        made = {m: n for m, n in made.items() if m > newest - 60}
+        frames = [pd.DataFrame(batch[k : k + 13], columns=["us", "event_id"]) for k in range(0, 60, 13)]
+        got = pd.concat(judge.handleInputRows((3,), iter(frames), None))
+        assert {r.event_id: (r.late, r.a_accepted, r.b_accepted) for r in got.itertuples()} == want
+        assert judge.made.map == {(m,): (n,) for m, n in made.items()}
