@@ -39,8 +39,9 @@ def reset_and_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections and states of all jobs are inserted, twice; every job is asked to be reset, which
     the failed ones are; those are analysed again and give other rows."""
     base = folder(spark)
-    rows = frame(spark, sf_dir, "corrections").select("job_id", "id", "seq", "category")
-    states = frame(spark, sf_dir, "jobs").select(F.col("id").alias("job_id"), "status", F.lit(60).alias("progress"), "corrections_count")
+    # the views are made once, however often their rows are sent
+    rows = tables.staged(frame(spark, sf_dir, "corrections").select("job_id", "id", "seq", "category"))
+    states = tables.staged(frame(spark, sf_dir, "jobs").select(F.col("id").alias("job_id"), "status", F.lit(60).alias("progress"), "corrections_count"))
     for _ in range(2):
         tables.insert_by_job(rows, f"{base}/corrections")
         tables.insert_by_job(states, f"{base}/jobs")

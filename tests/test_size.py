@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.operators import geometry, mining, search
+from quoin.plans import tables as plans
 from quoin.plans.mining import NOUN
 from quoin.streaming import machines
 
@@ -108,3 +109,11 @@ def test_requests_of_a_client_are_judged_in_frames(monkeypatch):
         got = pd.concat(judge.handleInputRows((3,), iter(frames), None))
         assert {r.event_id: (r.late, r.a_accepted, r.b_accepted) for r in got.itertuples()} == want
         assert judge.made.map == {(m,): (n,) for m, n in made.items()}
+
+
+def test_resent_rows_do_not_make_their_view_again(spark, sf_dir, monkeypatch):
+    sent = []
+    insert = plans.tables.insert_by_job
+    monkeypatch.setattr(plans.tables, "insert_by_job", lambda rows, path: (sent.append(rows.inputFiles()), insert(rows, path))[1])
+    plans.reset_and_retried(spark, sf_dir)
+    assert len(sent) >= 5 and not [f for files in sent for f in files if "lineitem" in f]
