@@ -130,20 +130,22 @@ def dedupe_sql(source: str) -> str:
 
 
 DEDUPE = dedupe_sql("{corrections}")
+#: Columns that de-duplication reads; what is left out here stays out of its shuffles.
+READ = ["id", "job_id", "page_number", "seq", "category", "original_text"]
 query("d01_fuzzy_key", ["corrections"], lambda k: c.fuzzy_deduplicated(k).select("id", "position"), f"WITH RECURSIVE {DEDUPE} SELECT id, position FROM d1")
 query("d02_exact_key", ["corrections"], lambda k: c.exactly_deduplicated(c.fuzzy_deduplicated(k)).select("id", "position"), f"WITH RECURSIVE {DEDUPE} SELECT id, position FROM d2")
-query("d03_overlap", ["corrections"], lambda k: c.undominated(c.exactly_deduplicated(c.fuzzy_deduplicated(k))).select("id", "position"), f"WITH RECURSIVE {DEDUPE} SELECT id, position FROM d3")
-query("d04_repeat_cap", ["corrections"], lambda k: c.deduplicated(k).select("id", "position"), f"WITH RECURSIVE {DEDUPE} SELECT id, position FROM d4")
-query("d05_result_order", ["corrections"], lambda k: c.deduplicated(k).select("job_id", "id", F.row_number().over(c.Window.partitionBy("job_id").orderBy(c.priority("category"), "position", "id")).alias("place")), f"WITH RECURSIVE {DEDUPE} SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY prio, position, id) AS place FROM d4")
+query("d03_overlap", ["corrections"], lambda k: c.undominated(c.paged(k.select(*READ))).select("id", "position"), f"WITH RECURSIVE {DEDUPE} SELECT id, position FROM d3")
+query("d04_repeat_cap", ["corrections"], lambda k: c.deduplicated(k.select(*READ)).select("id", "position"), f"WITH RECURSIVE {DEDUPE} SELECT id, position FROM d4")
+query("d05_result_order", ["corrections"], lambda k: c.deduplicated(k.select(*READ)).select("job_id", "id", F.row_number().over(c.Window.partitionBy("job_id").orderBy(c.priority("category"), "position", "id")).alias("place")), f"WITH RECURSIVE {DEDUPE} SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY prio, position, id) AS place FROM d4")
 query("d06_contradictions", ["corrections"], lambda k: c.contradictions(k).select("id"), f"WITH t AS (SELECT id, job_id, {KEY} AS o, lower({strip('corrected_text')}) AS r FROM {{corrections}} WHERE corrected_text IS NOT NULL) SELECT DISTINCT a.id FROM t a JOIN t b ON a.job_id = b.job_id AND a.o = b.r AND a.r = b.o AND a.id <> b.id WHERE a.o <> '' AND a.r <> ''")
 query("d07_new_feedback", ["corrections", "feedback"], lambda k, f: k.join(f.where("feedback_type = 'false_positive'"), k["id"] == f["correction_id"], "left_anti").select("id"), "SELECT k.id FROM {corrections} k ANTI JOIN (SELECT correction_id FROM {feedback} WHERE feedback_type = 'false_positive') f ON f.correction_id = k.id")
 
 ALL = f"{RULES}, clean AS (SELECT * EXCLUDE (g, o, r, e, d, s, stem, ob, rb, ou, ru, fp_rule) FROM ruled WHERE fp_rule IS NULL), {dedupe_sql('clean')}"
-query("a01_live_counts", ["corrections"], lambda k: c.deduplicated(c.filtered(k)).groupBy("job_id", "category").agg(F.count("*").alias("n")), f"WITH RECURSIVE {ALL} SELECT job_id, category, count(*) AS n FROM d4 GROUP BY job_id, category")
+query("a01_live_counts", ["corrections"], lambda k: c.deduplicated(c.filtered(k).select(*READ)).groupBy("job_id", "category").agg(F.count("*").alias("n")), f"WITH RECURSIVE {ALL} SELECT job_id, category, count(*) AS n FROM d4 GROUP BY job_id, category")
 query(
     "a09_category_map",
     ["corrections"],
-    lambda k: c.deduplicated(c.filtered(k)).groupBy("job_id", "category").agg(F.count("*").alias("n")).groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "category", F.col("n").cast("string")))), ",").alias("by_category"), F.sum("n").alias("total")),
+    lambda k: c.deduplicated(c.filtered(k).select(*READ)).groupBy("job_id", "category").agg(F.count("*").alias("n")).groupBy("job_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "category", F.col("n").cast("string")))), ",").alias("by_category"), F.sum("n").alias("total")),
     f"WITH RECURSIVE {ALL} SELECT job_id, string_agg(category || ':' || n, ',' ORDER BY category) AS by_category, sum(n)::BIGINT AS total FROM (SELECT job_id, category, count(*) AS n FROM d4 GROUP BY job_id, category) GROUP BY job_id",
 )
 

@@ -1,12 +1,14 @@
 """Plans and writes that must not grow faster than the input."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quoin.operators import geometry, mining, search
+from quoin.operators import corrections, geometry, mining, search
+from quoin.plans import QUERIES
 from quoin.plans import tables as plans
 from quoin.plans.mining import NOUN
 from quoin.streaming import machines
@@ -117,3 +119,34 @@ def test_resent_rows_do_not_make_their_view_again(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(plans.tables, "insert_by_job", lambda rows, path: (sent.append(rows.inputFiles()), insert(rows, path))[1])
     plans.reset_and_retried(spark, sf_dir)
     assert len(sent) >= 5 and not [f for files in sent for f in files if "lineitem" in f]
+
+
+def test_only_large_pages_are_cut_to_grams(spark, monkeypatch):
+    rng = random.Random(5)
+    sizes = {page: rng.choice([1, 3, 6, 7, 25]) for page in range(20)}
+    rows = [("j", page, at, rng.choice("ABCDEFGHX"), "".join(rng.choice("aab ") for _ in range(rng.choice([2, 4, 5, 6, 9])))) for page, n in sizes.items() for at in range(n)]
+    want = set()
+    for page in sizes:
+        kept = []
+        for _, _, at, category, text in sorted((r for r in rows if r[1] == page), key=lambda r: ("ABCDEFGHX".index(r[3]), r[2])):
+            k = re.sub(r"^\s+|\s+$", "", text).lower()
+            if not any(min(len(k), len(y)) >= 5 and (k in y or y in k) for y in kept):
+                kept.append(k)
+                want.add((page, at))
+    cut_up = []
+    containments = corrections.containments
+    monkeypatch.setattr(corrections, "MOST_AT_ONCE", 6)
+    monkeypatch.setattr(corrections, "containments", lambda texts: (cut_up.append(texts.count()), containments(texts))[1])
+    frame = spark.createDataFrame(rows, "job_id string, page_number int, position int, category string, original_text string")
+    assert {(r.page_number, r.position) for r in corrections.undominated(frame).collect()} == want
+    assert cut_up == [sum(n for n in sizes.values() if n > 6)]
+    assert len(want) < len(rows)
+
+
+def test_de_duplication_stages_no_column_that_it_does_not_read(spark, sf_dir, monkeypatch):
+    staged = []
+    real = corrections.staged
+    monkeypatch.setattr(corrections, "staged", lambda rows: (staged.append(rows.columns), real(rows))[1])
+    for name in ("d03_overlap", "d04_repeat_cap", "d05_result_order", "a01_live_counts", "a09_category_map"):
+        QUERIES[name](spark, sf_dir)
+    assert len(staged) == 5 and not [c for columns in staged for c in columns if c in ("description", "explanation", "corrected_text", "source", "created_at")]
