@@ -15,6 +15,7 @@ from quoin.plans.registry import QUERIES, SQL, query
 from quoin.session import shared_folder
 from quoin.sources.bridge import frame
 from quoin.sources.files import append_rows
+from quoin.sources.tables import staged
 
 
 def listed(values) -> str:
@@ -55,6 +56,7 @@ for name, allowed in (("p_parse_1a", "ABCD"), ("p_parse_all", "ABCDEFGH")):
 def inserted(raw: DataFrame) -> DataFrame:
     """What two passes (A to D, then the rest) insert into one table, read back."""
     path = f"{shared_folder(raw.sparkSession)}/quoin-corrections-{uuid.uuid4().hex}"
+    raw = staged(raw)  # the view is made once for both passes
     for categories in ("ABCD", "EFGH"):
         append_rows(c.parsed(raw, categories), path)
     return raw.sparkSession.read.parquet(path)

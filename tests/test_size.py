@@ -1,5 +1,7 @@
 """Plans and writes that must not grow faster than the input."""
 
+import contextlib
+import io
 import random
 import re
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quoin.operators import corrections, geometry, mining, search
 from quoin.plans import QUERIES
+from quoin.plans import corrections as correction_plans
 from quoin.plans import tables as plans
 from quoin.plans.mining import NOUN
 from quoin.streaming import machines
@@ -150,3 +153,23 @@ def test_de_duplication_stages_no_column_that_it_does_not_read(spark, sf_dir, mo
     for name in ("d03_overlap", "d04_repeat_cap", "d05_result_order", "a01_live_counts", "a09_category_map"):
         QUERIES[name](spark, sf_dir)
     assert len(staged) == 5 and not [c for columns in staged for c in columns if c in ("description", "explanation", "corrected_text", "source", "created_at")]
+
+
+def test_passes_insert_rows_of_a_view_made_once_and_parse_in_compiled_code(spark, sf_dir, monkeypatch):
+    sent = []
+    append = correction_plans.append_rows
+    monkeypatch.setattr(correction_plans, "append_rows", lambda rows, path: (sent.append(rows), append(rows, path))[1])
+    QUERIES["s11_insert_corrections"](spark, sf_dir)
+    assert len(sent) == 2 and not [f for rows in sent for f in rows.inputFiles() if "lineitem" in f]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # the JVM compiles no method of more than 8,000 bytes
+        for frame in (*sent, QUERIES["p_parse_all"](spark, sf_dir)):
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                frame.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+            assert sizes and max(sizes) < 8_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
