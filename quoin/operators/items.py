@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions.text import MARKED, UNMARKED, cut, has_any, strip
 from quoin.operators import mining as m
+from quoin.sources.tables import staged
 
 # Types, labels, identifiers and word lists of the checkers.
 ITEM_TYPES = ["date", "proper_noun", "title"]
@@ -95,7 +96,8 @@ def fact_only_items(pages: DataFrame, most: int = 40) -> DataFrame:
     taken = ranked.where(F.col("_nth") <= F.create_map(*(F.lit(x) for p in MOST_OF.items() for x in p))[stage]).where("text <> ''")
     first = Window.partitionBy("doc_id", "text").orderBy("stage", "_nth")
     unique = taken.withColumn("_first", F.row_number().over(first)).where("_first = 1")
-    listed = unique.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("stage", "_nth"))).where(F.col("seq") <= most)
+    # written once: names look for their pages beside it, and pages are mined no second time for that
+    listed = staged(unique.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("stage", "_nth"))).where(F.col("seq") <= most).select("doc_id", "seq", "stage", "text", "context", "page_num"))
     # the first page that has a name as a whole, which the pattern need not have found there
     asked = listed.where(stage == 2).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "text")).alias("names"))
     met = pages.select("doc_id", "page_num", F.col("text").alias("_page")).join(asked, "doc_id")

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quoin.operators import corrections, geometry, mining, search
+from quoin.operators import corrections, geometry, items, mining, search
 from quoin.plans import QUERIES
 from quoin.plans import corrections as correction_plans
 from quoin.plans import tables as plans
@@ -173,3 +173,17 @@ def test_passes_insert_rows_of_a_view_made_once_and_parse_in_compiled_code(spark
             assert sizes and max(sizes) < 8_000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_pages_are_mined_once_for_items(spark, sf_dir, monkeypatch):
+    written = []
+    staged = items.staged
+    monkeypatch.setattr(items, "staged", lambda rows: (written.append(rows), staged(rows))[1])
+    for name in ("i08_fact_only_items", "i09_prompt", "i03_attested_exclusion"):
+        QUERIES[name](spark, sf_dir)
+    assert len(written) == 3
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        QUERIES["i08_fact_only_items"](spark, sf_dir).explain()
+    # only how names look for their pages reads the orders, the patterns do not
+    assert out.getvalue().count("orders.parquet") == 1 and "regexp_extract_all" not in out.getvalue()
