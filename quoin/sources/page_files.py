@@ -2,7 +2,8 @@
 
 ``spark.read.format("page_files").load(path)`` gives (path, split, nth, text). Files are cut into
 splits of ``splitBytes``; a page belongs to the split in which it begins, and is read to its end, so
-a file of any size is read by many tasks and a task holds a block and a page at most. What number a
+a file of any size is read by many tasks and a task holds a block and a page at most. A task reads
+several splits if they are small. What number a
 page has in its file is known once the splits before it are counted: with the option ``count`` the
 source gives (path, split, pages) instead, and ``read_pages`` puts the two together.
 
@@ -13,6 +14,7 @@ A form feed at the end of a file ends its last page and begins none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,14 +26,25 @@ from quoin.functions.text import words
 
 BREAK, BLOCK, BATCH = b"\f", 1 << 20, 1_000
 SPLIT_BYTES = 32 << 20
+#: Small splits are put together to tasks of so many bytes, as a task costs a tenth of a second.
+TASK_BYTES = 4 << 20
 
 
-class Piece(InputPartition):
+class Piece(NamedTuple):
     """The bytes from ``start`` to ``stop`` of a file."""
 
-    def __init__(self, path: str, split: int, start: int, stop: int, size: int):
-        super().__init__((path, split))
-        self.path, self.split, self.start, self.stop, self.size = path, split, start, stop, size
+    path: str
+    split: int
+    start: int
+    stop: int
+
+
+class Pieces(InputPartition):
+    """Pieces that one task reads."""
+
+    def __init__(self, pieces: list[Piece]):
+        super().__init__(None)
+        self.pieces = pieces
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -56,12 +69,14 @@ def listed(path: str) -> list[tuple[str, int]]:
 
 def pages_of(system: fs.FileSystem, piece: Piece) -> Iterator[bytes]:
     """The pages that begin in a piece, in order."""
+    # little beyond the piece is read: its last page may end there
+    size = min(BLOCK, max(piece.stop - piece.start, 1 << 12))
     with system.open_input_file(piece.path) as file:
         at = max(piece.start - 1, 0)
         file.seek(at)
         held, begins = b"", piece.start == 0
         while True:
-            block = file.read(BLOCK)
+            block = file.read(size)
             parts = (held + block).split(BREAK)
             if block:
                 held = parts.pop()
@@ -84,24 +99,35 @@ class PageReader(DataSourceReader):
         self.bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.count = options.get("count", "false").lower() == "true"
 
-    def partitions(self) -> list[Piece]:
-        return [Piece(path, k, start, min(start + self.bytes, size), size) for path, size in listed(self.path) for k, start in enumerate(range(0, size, self.bytes))]
-
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Pieces]:
+        tasks: list[Pieces] = []
+        held = TASK_BYTES
+        for path, size in listed(self.path):
+            for k, start in enumerate(range(0, size, self.bytes)):
+                piece = Piece(path, k, start, min(start + self.bytes, size))
+                if held + piece.stop - start > TASK_BYTES:
+                    tasks.append(Pieces([]))
+                    held = 0
+                tasks[-1].pieces.append(piece)
+                held += piece.stop - start
+        return tasks
+
+    def read(self, task: Pieces) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.path)
         if self.count:
-            n = sum(1 for _ in pages_of(system, piece))
-            yield pa.RecordBatch.from_pydict({"path": [piece.path], "split": pa.array([piece.split], pa.int64()), "pages": pa.array([n], pa.int64())})
+            counts = [sum(1 for _ in pages_of(system, piece)) for piece in task.pieces]
+            yield pa.RecordBatch.from_pydict({"path": [p.path for p in task.pieces], "split": pa.array([p.split for p in task.pieces], pa.int64()), "pages": pa.array(counts, pa.int64())})
             return
-        texts: list[str] = []
-        done = 0
-        for page in pages_of(system, piece):
-            texts.append(page.decode())
-            if len(texts) >= BATCH:
+        for piece in task.pieces:
+            texts: list[str] = []
+            done = 0
+            for page in pages_of(system, piece):
+                texts.append(page.decode())
+                if len(texts) >= BATCH:
+                    yield self.batch(piece, done, texts)
+                    done, texts = done + len(texts), []
+            if texts:
                 yield self.batch(piece, done, texts)
-                done, texts = done + len(texts), []
-        if texts:
-            yield self.batch(piece, done, texts)
 
     @staticmethod
     def batch(piece: Piece, done: int, texts: list[str]) -> pa.RecordBatch:

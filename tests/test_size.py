@@ -14,6 +14,7 @@ from quoin.plans import QUERIES
 from quoin.plans import corrections as correction_plans
 from quoin.plans import tables as plans
 from quoin.plans.mining import NOUN
+from quoin.sources import page_files
 from quoin.streaming import machines
 
 
@@ -187,3 +188,18 @@ def test_pages_are_mined_once_for_items(spark, sf_dir, monkeypatch):
         QUERIES["i08_fact_only_items"](spark, sf_dir).explain()
     # only how names look for their pages reads the orders, the patterns do not
     assert out.getvalue().count("orders.parquet") == 1 and "regexp_extract_all" not in out.getvalue()
+
+
+def test_small_splits_share_tasks(tmp_path):
+    for f in range(50):
+        (tmp_path / f"{f}.txt").write_bytes(b"\f".join(b"page %d" % i for i in range(40)))
+    reader = page_files.PageReader({"path": str(tmp_path), "splitbytes": "16"})
+    tasks = reader.partitions()
+    pieces = [(p.path, p.split) for t in tasks for p in t.pieces]
+    assert len(tasks) == 1 and len(pieces) == len(set(pieces)) > 50 * 10
+    got = {}
+    for batch in (b for t in tasks for b in reader.read(t)):
+        got.setdefault(batch["path"][0].as_py(), []).extend(batch["text"].to_pylist())
+    assert len(got) == 50 and all(texts == [f"page {i}" for i in range(40)] for texts in got.values())
+    (tmp_path / "large.txt").write_bytes(b"x" * (page_files.TASK_BYTES * 2))
+    assert len(page_files.PageReader({"path": str(tmp_path), "splitbytes": str(1 << 20)}).partitions()) == 3
