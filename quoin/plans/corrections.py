@@ -97,13 +97,13 @@ RULES = rf"""marks AS (SELECT job_id, sum(length(t) - length(replace(t, '«', ''
     WHEN category = 'F' AND len(list_filter([{listed(c.SPACING)}], lambda p: contains(s, p))) > 0 THEN 'interligne_mise_en_page'
     WHEN category = 'C' AND (contains(s, 'double espace') OR (contains(o, '  ') AND r <> '' AND NOT contains(r, '  '))) THEN 'double_espace_justification'
   END AS fp_rule FROM said)"""
-query("f_rules", ["corrections"], lambda k: c.with_rule(k, c.guillemets(k)).select("id", "fp_rule"), f"WITH {RULES} SELECT id, fp_rule FROM ruled")
+query("f_rules", ["corrections"], lambda k: c.with_rule(k).select("id", "fp_rule"), f"WITH {RULES} SELECT id, fp_rule FROM ruled")
 query("f07_filtered", ["corrections"], lambda k: c.filtered(k).select("id", "category", "confidence"), f"WITH {RULES} SELECT id, category, CASE WHEN category = 'H' AND confidence IN ('Certain', 'Probable') THEN 'À vérifier' ELSE confidence END AS confidence FROM ruled WHERE fp_rule IS NULL")
-query("a21_removed_by_rule", ["corrections"], lambda k: c.with_rule(k, c.guillemets(k)).where("fp_rule IS NOT NULL").groupBy("fp_rule").agg(F.count("*").alias("removed")), f"WITH {RULES} SELECT fp_rule, count(*) AS removed FROM ruled WHERE fp_rule IS NOT NULL GROUP BY fp_rule")
+query("a21_removed_by_rule", ["corrections"], lambda k: c.with_rule(k).where("fp_rule IS NOT NULL").groupBy("fp_rule").agg(F.count("*").alias("removed")), f"WITH {RULES} SELECT fp_rule, count(*) AS removed FROM ruled WHERE fp_rule IS NOT NULL GROUP BY fp_rule")
 query(
     "f18_quality_ratios",
     ["corrections"],
-    lambda k: c.with_rule(k, c.guillemets(k)).groupBy("job_id").agg(F.count("*").alias("raw"), F.count_if(F.col("fp_rule").isNull()).alias("kept")).select("job_id", "raw", "kept", F.round(F.col("kept") / F.col("raw"), 3).alias("kept_ratio"), ((1 - F.col("kept") / F.col("raw")) > 0.4).alias("alert")),
+    lambda k: c.with_rule(k).groupBy("job_id").agg(F.count("*").alias("raw"), F.count_if(F.col("fp_rule").isNull()).alias("kept")).select("job_id", "raw", "kept", F.round(F.col("kept") / F.col("raw"), 3).alias("kept_ratio"), ((1 - F.col("kept") / F.col("raw")) > 0.4).alias("alert")),
     f"WITH {RULES} SELECT job_id, count(*) AS raw, count(*) FILTER (fp_rule IS NULL) AS kept, round(count(*) FILTER (fp_rule IS NULL) / count(*), 3) AS kept_ratio, (1 - count(*) FILTER (fp_rule IS NULL) / count(*)) > 0.4 AS alert FROM ruled GROUP BY job_id",
 )
 

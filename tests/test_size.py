@@ -203,3 +203,11 @@ def test_small_splits_share_tasks(tmp_path):
     assert len(got) == 50 and all(texts == [f"page {i}" for i in range(40)] for texts in got.values())
     (tmp_path / "large.txt").write_bytes(b"x" * (page_files.TASK_BYTES * 2))
     assert len(page_files.PageReader({"path": str(tmp_path), "splitbytes": str(1 << 20)}).partitions()) == 3
+
+
+def test_rules_make_their_rows_once(spark, sf_dir):
+    for name in ("f_rules", "f07_filtered", "a21_removed_by_rule", "f18_quality_ratios"):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            QUERIES[name](spark, sf_dir).explain()
+        assert out.getvalue().count("lineitem.parquet") == 1
