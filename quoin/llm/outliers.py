@@ -308,8 +308,9 @@ def cut_offs(rows: DataFrame, share: float) -> tuple[DataFrame, int]:
     """For each language the distance beyond which a row is an outlier, and their number."""
     middle, upper = quantile(P, 0.5), quantile(P, 0.75)
     logs = [F.log(F.percentile_approx(F.col("outlyingness") + 1e-9, q, 10_000)) for q in (0.5, 0.75)]
-    whole = rows.groupBy("_whole").agg(logs[0].alias("all2"), logs[1].alias("all3"))
-    each = rows.groupBy("_whole", "_lang").agg(F.count("*").alias("n"), logs[0].alias("q2"), logs[1].alias("q3")).join(whole, "_whole")
+    # one row: a join by the constant key would be a product of all partitions with all
+    whole = F.broadcast(rows.agg(logs[0].alias("all2"), logs[1].alias("all3")))
+    each = rows.groupBy("_lang").agg(F.count("*").alias("n"), logs[0].alias("q2"), logs[1].alias("q3")).crossJoin(whole)
     part = F.col("n") / (F.col("n") + PRIOR)
     both = each.select("_lang", *((part * F.col(f"q{k}") + (1 - part) * F.col(f"all{k}")).alias(f"q{k}") for k in (2, 3)))
     stretch = F.greatest(F.lit(1.0), (F.col("q3") - F.col("q2")) / math.log(upper / middle))

@@ -562,6 +562,24 @@ def test_mcd_withstands_contamination(spark):
     assert n == 1 and max(abs(params.first()[c]) for c in outliers.MEANS) < 0.06
 
 
+def test_cut_offs_need_no_product_of_partitions(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(outliers, "cut", lambda df: frames.append(df) or df)
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(200).selectExpr("concat('l', id % 3) AS _lang", "double(id) AS outlyingness").withColumn("_whole", F.lit(""))
+        out, n = outliers.cut_offs(rows.repartition(5), 0.9999)
+        assert n == 3 and {r._lang for r in out.collect()} == {"l0", "l1", "l2"}
+        assert frames[-1].rdd.getNumPartitions() <= 7
+        assert outliers.cut_offs(rows.where("id < 0"), 0.9999)[1] == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_outliers_are_rejected_on_any_data(spark):
     rng = np.random.default_rng(5)
     cov = 0.05 * (np.eye(5) + 0.5)
