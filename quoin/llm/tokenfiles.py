@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.llm.bpe import PATTERN, vocabulary
+from quoin.llm.common import gathered, text_or_empty, written
 from quoin.llm.common import read as table
-from quoin.llm.common import text_or_empty, written
 from quoin.session import shared_folder
 
 END_ID = 1
@@ -148,12 +148,6 @@ class Encoder:
         return np.insert(ids, bounds, END_ID), np.diff(bounds, prepend=0) + 1
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of ``flat`` one behind the other, and their sizes."""
-    before = np.cumsum(sizes) - sizes
-    return flat[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)], sizes
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -10,6 +10,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,33 @@ def test_bpe_equals_the_library(spark, sf_dir):
         assert ours.decode(want.ids) == theirs.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_merges_new_words_of_many_texts_side_by_side(spark, sf_dir, monkeypatch):
+    from tokenizers import Tokenizer
+
+    theirs, tables = Tokenizer.from_file(bpe.vocabulary()), bpe.load(bpe.vocabulary())
+    calls, one = [], bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda symbols, *rest: calls.append(len(symbols)) or one(symbols, *rest))
+    long = "unlike" * bpe.WIDEST
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    texts = ["", *texts, " \n", f"{long} ǅ x{long}\u00a0İ<|endoftext|>K", "aaaaaaa " + "x" * bpe.WIDEST, "", long]
+    codec = bpe.Codec(tables)
+    for kept in (bpe.KEPT, 10):
+        monkeypatch.setattr(bpe, "KEPT", kept)
+        for k in range(0, len(texts), 7):
+            part = texts[k : k + 7]
+            ids = bpe.listed(*codec.encode_all(pa.array(part, pa.string())))
+            want = [theirs.encode(t, add_special_tokens=False).ids for t in part]
+            assert ids.to_pylist() == want
+            assert codec.decode_all(ids).to_pylist() == [theirs.decode(x, skip_special_tokens=False) for x in want]
+    # words that are no longer than WIDEST were never merged one by one
+    assert calls and min(calls) > bpe.WIDEST
+    # symbols that a vocabulary lacks have no id; a special token may have a blank in it
+    few = dict(tables, ids={k: v for k, v in tables["ids"].items() if k not in ("q", "z</w>")}, special={"<a b>": 7})
+    codec = bpe.Codec(few)
+    q, u = tables["ids"]["q</w>"], tables["ids"]["u</w>"]
+    assert [codec.encode(t) for t in ("qq", "z", "qu<a b>q\nz", "<a b>")] == [[q], [], [u, 7, q], [7]]
+
+
 def one_edit(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
