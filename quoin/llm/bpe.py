@@ -50,7 +50,7 @@ PLACES = (1 << PLACE_BITS) - 1
 #: Pieces kept with their ids in a task; when more are held, they are forgotten and gathered anew.
 KEPT = 400_000
 #: Characters that a task encodes at once.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 #: Bytes of the longest words that are merged side by side, and of narrower arrays for shorter ones.
 WIDTHS = (8, 16, 32)
 WIDEST = WIDTHS[-1]
